@@ -23,14 +23,16 @@ from cairn.llm.suffixes import common_prefixes, suffix_ranks
 WIDTH = 100
 ANCHOR = 24
 CHUNK = 1 << 20
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 4 << 20
+#: Snippets are sorted in batches of whole anchors of about this size.
+BATCH = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
 SEPARATOR = 0xFF  # in no UTF-8 text
 
 ENTRIES = "bucket int, block int, hashes binary"
 REPLIES = "block int, kind int, shard int, data binary"
-SNIPPETS = "shard int, block int, bytes binary, lengths binary, docs binary, starts binary"
+SNIPPETS = "shard int, block int, anchors binary, bytes binary, lengths binary, docs binary, starts binary"
 OUT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"
 REPEATED, LOST, CUT = 0, 1, 2
 
@@ -135,7 +137,7 @@ def repeated(table: pa.Table) -> pa.Table:
 def snippets(texts: list[bytes], replies: pa.Table, width: int, shards: int):
     """The block's different snippets by shard, each with its places, the first one first.
 
-    Gives for each shard a list of (text, [(document number, first start, last start), ...]).
+    Gives for each shard a list of (text, [(document number, first start, last start, anchor), ...]).
     """
     h, doc, first, last = ranges(texts, width)
     known = [np.frombuffer(d, np.uint64) for k, d in zip(replies.column("kind").to_pylist(), replies.column("data").to_pylist(), strict=True) if k == REPEATED]
@@ -145,20 +147,21 @@ def snippets(texts: list[bytes], replies: pa.Table, width: int, shards: int):
     pick = np.flatnonzero(in_sorted(h, known) | in_sorted(h, own))
     shard = ((h[pick] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     found: dict[int, dict[bytes, list]] = {}
-    for s, d, a, z in zip(shard.tolist(), doc[pick].tolist(), first[pick].tolist(), last[pick].tolist(), strict=True):
-        found.setdefault(s, {}).setdefault(texts[d][a : z + width], []).append((d, a, z))
+    for s, d, a, z, k in zip(shard.tolist(), doc[pick].tolist(), first[pick].tolist(), last[pick].tolist(), h[pick].tolist(), strict=True):
+        found.setdefault(s, {}).setdefault(texts[d][a : z + width], []).append((d, a, z, k))
     return {s: list(x.items()) for s, x in sorted(found.items())}
 
 
 def snippets_of(width: int, shards: int):
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {k: [] for k in ("shard", "block", "bytes", "lengths", "docs", "starts")}
+        rows: dict[str, list] = {k: [] for k in ("shard", "block", "anchors", "bytes", "lengths", "docs", "starts")}
         if table.num_rows:
             block = table.column("block")[0].as_py()
             ids, texts = read_block(table)
             for s, items in snippets(texts, replies, width, shards).items():
                 rows["shard"].append(s)
                 rows["block"].append(block)
+                rows["anchors"].append(np.array([p[0][3] for _, p in items], np.uint64).tobytes())
                 rows["bytes"].append(b"".join(t for t, _ in items))
                 rows["lengths"].append(np.array([len(t) for t, _ in items], np.uint32).tobytes())
                 rows["docs"].append(ids[[p[0][0] for _, p in items]].tobytes())
@@ -194,30 +197,46 @@ def earlier_windows(texts: list[bytes], place: np.ndarray, width: int) -> list[t
     return [(int(t), int(x - base[t]), int(y - base[t])) for t, x, y in zip(text[a], a, z, strict=True)]
 
 
+def batches(anchor: dict[bytes, int]):
+    """The texts in batches of about BATCH bytes; those of one anchor stay together."""
+    batch: list[bytes] = []
+    size, last = 0, None
+    for t in sorted(anchor, key=anchor.__getitem__):
+        if size >= BATCH and anchor[t] != last:
+            yield batch
+            batch, size = [], 0
+        batch.append(t)
+        size, last = size + len(t), anchor[t]
+    if batch:
+        yield batch
+
+
 def sorted_of(width: int):
     def answers(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        pieces = list(zip(*(table.column(k).to_pylist() for k in ("block", "bytes", "lengths", "docs", "starts")), strict=True))
+        pieces = list(zip(*(table.column(k).to_pylist() for k in ("block", "anchors", "bytes", "lengths", "docs", "starts")), strict=True))
         first: dict[bytes, tuple] = {}
+        anchor: dict[bytes, int] = {}
         sent = []
-        for k, (_, data, lengths, docs, starts) in enumerate(pieces):
+        for k, (_, keys, data, lengths, docs, starts) in enumerate(pieces):
             end = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
             d, s = np.frombuffer(docs, np.int64).tolist(), np.frombuffer(starts, np.int64).tolist()
             own = [data[a:z] for a, z in zip([0, *end[:-1]], end, strict=True)]
             sent.append(own)
+            anchor.update(zip(own, np.frombuffer(keys, np.uint64).tolist(), strict=True))
             for i, t in enumerate(own):
                 x = (d[i], s[i], k, i)
                 if t not in first or x < first[t]:
                     first[t] = x
-        texts = list(first)
-        where = list(first.values())
-        place = np.empty(len(texts), np.int64)
-        place[sorted(range(len(texts)), key=where.__getitem__)] = np.arange(len(texts))
         lost: list[list[int]] = [[i for i, t in enumerate(own) if first[t][2:] != (k, i)] for k, own in enumerate(sent)]
         cut: list[list[tuple]] = [[] for _ in pieces]
-        for t, a, z in earlier_windows(texts, place, width):
-            _, _, k, i = where[t]
-            cut[k].append((i, a, z))
+        for texts in batches(anchor):
+            where = [first[t] for t in texts]
+            place = np.empty(len(texts), np.int64)
+            place[sorted(range(len(texts)), key=where.__getitem__)] = np.arange(len(texts))
+            for t, a, z in earlier_windows(texts, place, width):
+                _, _, k, i = where[t]
+                cut[k].append((i, a, z))
         rows = []
         for k, piece in enumerate(pieces):
             if lost[k]:
@@ -244,13 +263,13 @@ def kept_of(width: int, shards: int):
         starts, stops = [], []
         for s, items in found.items():
             for i, (_, places) in enumerate(items):
-                for d, a, z in places if (s, i) in lost else places[1:]:
+                for d, a, z, _ in places if (s, i) in lost else places[1:]:
                     starts.append(base[d] + a)
                     stops.append(base[d] + z + width)
         for k, s, d in zip(*(replies.column(c).to_pylist() for c in ("kind", "shard", "data")), strict=True):
             if k == CUT:
                 for i, a, z in np.frombuffer(d, np.int64).reshape(-1, 3).tolist():
-                    doc, begin, _ = found[s][i][1][0]
+                    doc, begin = found[s][i][1][0][:2]
                     starts.append(base[doc] + begin + a)
                     stops.append(base[doc] + begin + z - 1 + width)
         np.add.at(step, np.array(starts, np.int64), 1)
