@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name and module; a module's ORACLE is its SQL.
 MODULES = {
     "op1_substring_dedup": "substring_dedup",
+    "op3_langid": "langid",
     "op6_simhash_dedup": "simhash",
     "op7_bpe": "bpe",
     "op10_suffix_dedup": "suffix_dedup",
