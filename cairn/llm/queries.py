@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_substring_dedup": "substring_dedup",
     "op3_langid": "langid",
+    "op4_quality": "quality",
     "op6_simhash_dedup": "simhash",
     "op7_bpe": "bpe",
     "op10_suffix_dedup": "suffix_dedup",
