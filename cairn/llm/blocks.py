@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
@@ -24,13 +24,14 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def in_blocks(docs: DataFrame, total: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block int, doc_id long, text string (null: empty); other columns are left out."""
+def in_blocks(docs: DataFrame, total: int, block_bytes: int = BLOCK_BYTES, keep: list[Column] | None = None) -> DataFrame:
+    """block int, doc_id long, text string (null: empty), and what keep names; other columns are left out."""
     n = max(1, -(-total // block_bytes))
     return docs.select(
         F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).cast("int").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        *(keep or []),
     )
 
 
