@@ -11,6 +11,7 @@ MODULES = {
     "op4_quality": "quality",
     "op6_simhash_dedup": "simhash",
     "op7_bpe": "bpe",
+    "op8_decontaminate": "decontaminate",
     "op9_ppm": "ppm",
     "op10_suffix_dedup": "suffix_dedup",
 }
