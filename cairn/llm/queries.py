@@ -7,8 +7,10 @@ from importlib import import_module
 #: Query name and module; a module's ORACLE is its SQL.
 MODULES = {
     "op1_substring_dedup": "substring_dedup",
+    "op2_topk": "topk",
     "op3_langid": "langid",
     "op4_quality": "quality",
+    "op5_token_counts": "token_counts",
     "op6_simhash_dedup": "simhash",
     "op7_bpe": "bpe",
     "op8_decontaminate": "decontaminate",
