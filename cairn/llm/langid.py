@@ -210,6 +210,26 @@ def fit(labelled: DataFrame, per_label: int = SAMPLE) -> Network:
     return train([r["text"].encode() for r in rows], [r["label"] for r in rows])
 
 
+def has_letter() -> Column:
+    return F.coalesce("text", F.lit("")).rlike(r"\p{L}")
+
+
+def predicted(net: Network, texts: list[bytes], letters: list[bool]):
+    """Language and score of each text, a bounded number of bytes at a time."""
+    begin = 0
+    while begin < len(texts):
+        stop, size = begin, 0
+        while stop < len(texts) and (stop == begin or size + len(texts[stop]) <= PART_BYTES):
+            size += len(texts[stop])
+            stop += 1
+        p = net.probabilities(texts[begin:stop])
+        best = p.argmax(axis=1)
+        known = letters[begin:stop]
+        names = [net.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+        yield begin, stop, names, np.where(known, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
+        begin = stop
+
+
 def identify(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, lang_pred and score (the mean probability of lang_pred) of every whole text.
 
@@ -222,22 +242,28 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
         own = Network(*model.value)
         for batch in batches:
             ids, texts, letters = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
-            begin = 0
-            while begin < len(texts):
-                stop, size = begin, 0
-                while stop < len(texts) and (stop == begin or size + len(texts[stop]) <= PART_BYTES):
-                    size += len(texts[stop])
-                    stop += 1
-                p = own.probabilities(texts[begin:stop])
-                best = p.argmax(axis=1)
-                known = letters[begin:stop]
-                names = [own.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-                score = np.where(known, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, stop - begin), pa.array(names), pa.array(score)], ["doc_id", "lang_pred", "score"])
-                begin = stop
-
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+            for begin, stop, names, score in predicted(own, texts, letters):
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, stop - begin), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), has_letter().alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that have letters and a language of at least that score."""
+    model = docs.sparkSession.sparkContext.broadcast((net.languages, net.weights))
+    schema = docs.schema
+    at = docs.columns.index("text")
+
+    def run(batches):
+        own = Network(*model.value)
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            letters = batch.column(batch.num_columns - 1).to_pylist()
+            stay = [s >= least and n != UNKNOWN for _, _, names, score in predicted(own, texts, letters) for n, s in zip(names, score, strict=True)]
+            rows = pa.RecordBatch.from_arrays(batch.columns[:-1], schema.names)
+            yield rows.filter(pa.array(stay, pa.bool_()))
+
+    return docs.select("*", has_letter().alias("letters")).mapInArrow(run, schema)
 
 
 def fold(folds: int, column: str = "doc_id") -> Column:
