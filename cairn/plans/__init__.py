@@ -1 +1 @@
-
+"""Queries over the given tables, with the SQL that says the same."""

@@ -1 +1 @@
-
+"""Readers of landed files, and writers."""
