@@ -161,13 +161,17 @@ def flt_22(spark, d):
     return view(spark, d, "v_via_ferrata_attr").select("id", "name", F.concat(F.lit("Grade "), "via_ferrata_scale").alias("label"), F.coalesce(F.lit(None).cast("string"), F.lit("No description")).alias("description"))
 
 
-STYLE = {"hiking": "easy", "mountain_hiking": "medium", "demanding_mountain_hiking": "medium", "alpine_hiking": "hard", "demanding_alpine_hiking": "hard", "difficult_alpine_hiking": "extreme", "track": "track"}
+# Line colours by grade of difficulty.
+COLOURS = {
+    "track": "#9E9E9E", "footway": "#B0BEC5", "bridleway": "#8D6E63", "steps": "#607D8B", "cycleway": "#26A69A", "hiking": "#4CAF50", "mountain_hiking": "#FFC107",
+    "demanding_mountain_hiking": "#FF9800", "alpine_hiking": "#F44336", "demanding_alpine_hiking": "#9C27B0", "difficult_alpine_hiking": "#000000", "unknown": "#9E9E9E",
+}
 
 
-@query("FLT-24", "SELECT osm_id, CASE sac_scale WHEN 'hiking' THEN 'easy' WHEN 'mountain_hiking' THEN 'medium' WHEN 'demanding_mountain_hiking' THEN 'medium' WHEN 'alpine_hiking' THEN 'hard' WHEN 'demanding_alpine_hiking' THEN 'hard' WHEN 'difficult_alpine_hiking' THEN 'extreme' WHEN 'track' THEN 'track' ELSE 'default' END AS style FROM v_trails_attr")
+@query("FLT-24", "SELECT osm_id, CASE sac_scale " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COLOURS.items()) + " ELSE '#9E9E9E' END AS colour FROM v_trails_attr")
 def flt_24(spark, d):
-    styles = F.create_map(*[F.lit(x) for pair in STYLE.items() for x in pair])
-    return view(spark, d, "v_trails_attr").select("osm_id", F.coalesce(F.element_at(styles, F.col("sac_scale")), F.lit("default")).alias("style"))
+    colours = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
+    return view(spark, d, "v_trails_attr").select("osm_id", F.coalesce(F.element_at(colours, F.col("sac_scale")), F.lit("#9E9E9E")).alias("colour"))
 
 
 @query("FLT-27", "SELECT id, CASE WHEN id % 4 = 0 THEN 9.5 ELSE lng END AS lng FROM v_pois")
