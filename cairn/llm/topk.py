@@ -20,9 +20,9 @@ from cairn.functions.session import kept
 K = 10
 SHARD = 16384
 QUERIES = 256
-LEVELS = 8
+LEVELS = 4
 #: Segments between two looks at the bounds, and vectors that may be left for exact scores beside k.
-EVERY = 64
+EVERY = 32
 FEW = 64
 
 PACKED = "part long, ids binary, data binary, width int"
@@ -48,7 +48,7 @@ class Index:
         self.ids, self.data = ids, data
         low, high = data.min(axis=0), data.max(axis=0)
         level = (data - low) * levels // (high - low + 1)
-        self.dim, self.rows, self.low, self.high = [], [], [], []
+        self.dim, self.rows, self.values, self.low, self.high = [], [], [], [], []
         for d in range(data.shape[1]):
             order = np.argsort(level[:, d], kind="stable")
             edge = np.searchsorted(level[order, d], np.arange(levels + 1))
@@ -57,8 +57,9 @@ class Index:
                     rows = np.sort(order[a:z])
                     self.dim.append(d)
                     self.rows.append(rows)
-                    self.low.append(int(data[rows, d].min()))
-                    self.high.append(int(data[rows, d].max()))
+                    self.values.append(data[rows, d])
+                    self.low.append(int(self.values[-1].min()))
+                    self.high.append(int(self.values[-1].max()))
         self.dim, self.low, self.high = (np.array(x, np.int64) for x in (self.dim, self.low, self.high))
         self.least, self.most = low, high
 
@@ -72,7 +73,7 @@ class Index:
         impact = np.maximum(q[self.dim] * self.low, q[self.dim] * self.high) - base[self.dim]
         order = np.argsort(-impact, kind="stable")
         order = order[impact[order] > 0]
-        total, unseen = np.zeros(n, np.int64), np.ones((n, dims), bool)
+        total, unseen = np.zeros(n, np.int64), np.ones((dims, n), np.float32)
         # The impact of each dimension's next segment; nothing is added where all are alike.
         coming = np.zeros(dims, np.int64)
         np.maximum.at(coming, self.dim, impact)
@@ -81,14 +82,16 @@ class Index:
         for at in range(0, len(order), EVERY):
             for s in order[at : at + EVERY].tolist():
                 d, rows = self.dim[s], self.rows[s]
-                total[rows] += q[d] * self.data[rows, d] - base[d]
-                unseen[rows, d] = False
+                total[rows] += q[d] * self.values[s] - base[d]
+                unseen[d, rows] = 0
             coming[:] = 0
             np.maximum.at(coming, self.dim[order[at + EVERY :]], impact[order[at + EVERY :]])
             certain = np.where(out, -1, total)
             if n - out.sum() > k:
                 kth = np.partition(certain, n - k)[n - k]
-                candidates = np.flatnonzero(~out & (total + unseen @ coming.astype(np.float64) >= kth))
+                # Rounded up, so that single precision keeps the proof.
+                more = (coming * 1.001 + (coming > 0)).astype(np.float32) @ unseen
+                candidates = np.flatnonzero(~out & (total + more >= kth))
                 if len(candidates) <= k + FEW:
                     break
         candidates = candidates[~out[candidates]]
