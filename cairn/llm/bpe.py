@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces and pairs of tokens that a worker remembers before it starts over.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -33,6 +34,21 @@ def read_ranks(path: str) -> list[bytes]:
     return [found[i] for i in range(len(found))]
 
 
+class Pieces(dict):
+    """Tokens of pieces seen before, four bytes each; works out the others."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = np.array(self.encoder.piece(word.encode()), np.int32).tobytes()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Encodes pieces of text; tokens has all single bytes, and a token's number is its rank."""
 
@@ -46,7 +62,7 @@ class Encoder:
         self.matches.make_automaton()
         self.halves: dict[int, tuple[int, int]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Pieces(self)
 
     def split(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one (a byte: itself twice)."""
@@ -86,7 +102,7 @@ class Encoder:
             else:
                 limit, b = b + 1, inner_b[0]
         if below is None:
-            if len(self.fits) >= REMEMBERED:
+            if len(self.fits) >= REMEMBERED // 2:
                 self.fits.clear()
             self.fits[left, right] = fits
         return fits
@@ -130,21 +146,12 @@ class Encoder:
                 return found
         return None
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Token numbers of a text, each match of the pattern by itself."""
-        known, out = self.known, []
-        for word in self.find(text):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = self.piece(word.encode())
-                known[word] = ids
-            out += ids
-        return out
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.find(text))), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -178,7 +185,9 @@ def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for part in parts(batch):
                 ids = [code.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(code.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0), listed, pa.array(map(code.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
