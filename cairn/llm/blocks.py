@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
 #: Stands for a null doc_id inside tasks; it sorts after every other id.
 NO_ID = 2**63 - 1
