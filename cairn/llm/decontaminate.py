@@ -257,10 +257,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):
-            for batch in batches:
-                texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                drop = {d for d, _, _ in held.value.leaks(texts)}
-                yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in drop], pa.int64()))
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(at, 2048)
+                    texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                    drop = {d for d, _, _ in held.value.leaks(texts)}
+                    yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in drop], pa.int64()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -256,12 +256,14 @@ def accepted(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
 
     def run(batches):
         own = Network(*model.value)
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            letters = batch.column(batch.num_columns - 1).to_pylist()
-            stay = [s >= least and n != UNKNOWN for _, _, names, score in predicted(own, texts, letters) for n, s in zip(names, score, strict=True)]
-            rows = pa.RecordBatch.from_arrays(batch.columns[:-1], schema.names)
-            yield rows.filter(pa.array(stay, pa.bool_()))
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
+                texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+                letters = batch.column(batch.num_columns - 1).to_pylist()
+                stay = [s >= least and n != UNKNOWN for _, _, names, score in predicted(own, texts, letters) for n, s in zip(names, score, strict=True)]
+                rows = pa.RecordBatch.from_arrays(batch.columns[:-1], schema.names)
+                yield rows.filter(pa.array(stay, pa.bool_()))
 
     return docs.select("*", has_letter().alias("letters")).mapInArrow(run, schema)
 
