@@ -8,6 +8,9 @@ repeats, so that a key held by a third of all rows costs one entry per block.
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -79,3 +82,50 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
     return edge[::2], edge[1::2]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on between tasks, and glibc keeps what numpy has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(f):
+    """f for one group of rows, giving memory back after it."""
+
+    @wraps(f)
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            give_back()
+
+    return one
+
+
+def tidy_pair(f):
+    """The same for the two sides of a cogroup."""
+
+    @wraps(f)
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            give_back()
+
+    return both
+
+
+def tidied(f):
+    """The same for a function from batches to batches, after the last one."""
+
+    @wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run

@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.blocks import tidied
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces and pairs of tokens that a worker remembers before it starts over.
+#: Pieces and pairs of tokens that a task remembers before it starts over.
 REMEMBERED = 100_000
 PATTERN = public_tokenizers.PATTERN
 
@@ -154,21 +156,9 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(vocabulary) -> Encoder:
-    """The worker's encoder for a broadcast (name, tokens)."""
-    name, tokens = vocabulary.value
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(tokens)
-    return _ENCODERS[name]
-
-
 def load(spark: SparkSession, path: str):
     """The vocabulary on all executors: a fixed file of under a megabyte."""
-    return spark.sparkContext.broadcast((path, read_ranks(path)))
+    return spark.sparkContext.broadcast(read_ranks(path))
 
 
 def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -181,7 +171,7 @@ def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
     vocabulary = load(docs.sparkSession, path or public_tokenizers.path(VOCABULARY))
 
     def run(batches):
-        code = encoder(vocabulary)
+        code = Encoder(vocabulary.value)
         for batch in batches:
             for part in parts(batch):
                 ids = [code.encode(t or "") for t in part.column(1).to_pylist()]
@@ -189,7 +179,7 @@ def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), listed, pa.array(map(code.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def parts(batch: pa.RecordBatch, rows: int = 256):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import mix
+from cairn.llm.blocks import mix, tidied
 
 EDITS = 0.1
 Q = 8
@@ -246,7 +246,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows, items, distances = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(distances, pa.int32())], ["doc_id", "item_id", "distance"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, distance int")
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, item_id long, distance int")
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -264,7 +264,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     drop = {d for d, _, _ in held.value.leaks(texts)}
                     yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in drop], pa.int64()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs
 
 

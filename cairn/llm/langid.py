@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.blocks import tidied
+
 STEPS = 64
 HIDDEN = 8
 #: Labelled documents of each language that the network is fitted on, and segments of each.
@@ -245,7 +247,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
             for begin, stop, names, score in predicted(own, texts, letters):
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, stop - begin), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), has_letter().alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), has_letter().alias("letters")).mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
@@ -265,7 +267,7 @@ def accepted(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
                 rows = pa.RecordBatch.from_arrays(batch.columns[:-1], schema.names)
                 yield rows.filter(pa.array(stay, pa.bool_()))
 
-    return docs.select("*", has_letter().alias("letters")).mapInArrow(run, schema)
+    return docs.select("*", has_letter().alias("letters")).mapInArrow(tidied(run), schema)
 
 
 def fold(folds: int, column: str = "doc_id") -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.session import kept
-from cairn.llm.blocks import NO_ID
+from cairn.llm.blocks import NO_ID, tidied
 from cairn.operators.components import connected_components
 
 SHINGLE = 4
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             out = np.array([fingerprint(t.as_py() or b"", width) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, fingerprint long")
 
 
 def cuts(segments: int) -> list[tuple[int, int]]:

@@ -12,12 +12,14 @@ covered bytes.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import bucket_count, bucket_edges, id_array, in_blocks, in_sorted, mix, read_block, runs, text_bytes
+from cairn.llm.blocks import bucket_count, bucket_edges, id_array, in_blocks, in_sorted, mix, read_block, runs, text_bytes, tidy, tidy_pair
 from cairn.llm.suffixes import common_prefixes, suffix_ranks
 
 WIDTH = 100
@@ -32,17 +34,17 @@ SEPARATOR = 0xFF  # in no UTF-8 text
 
 ENTRIES = "bucket int, block int, hashes binary"
 REPLIES = "block int, kind int, shard int, data binary"
-SNIPPETS = "shard int, block int, anchors binary, bytes binary, lengths binary, docs binary, starts binary"
+SNIPPETS = "shard int, block int, anchors binary, places binary, bytes binary, lengths binary, docs binary, starts binary"
 OUT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"
 REPEATED, LOST, CUT = 0, 1, 2
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, width: int):
-    """For each maximal range of windows with one anchor: its hash, first and last start.
+    """For each maximal range of windows with one anchor: its hash and place, first and last start.
 
     data holds whole texts that end at ends; no window crosses an end.
     """
-    empty = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    empty = np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
     n = len(data) - width + 1
     if n <= 0:
         return empty
@@ -75,7 +77,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int):
     # two texts can meet without a gap only if no window ends there, so a range is in one text
     good = at[first] >= 0
     first, last = first[good], last[good]
-    return h[at[first]], first, last
+    return h[at[first]], at[first], first, last
 
 
 def chunks(texts: list[bytes]):
@@ -92,15 +94,15 @@ def chunks(texts: list[bytes]):
 
 
 def ranges(texts: list[bytes], width: int):
-    """Hash, document number, first and last start (within the document) of all ranges."""
+    """Hash, document number, first and last start (within the document) of all ranges, and the anchor's place from the first."""
     parts = []
     for begin, data, ends in chunks(texts):
-        h, first, last = anchors(data, ends, width)
+        h, at, first, last = anchors(data, ends, width)
         doc = np.searchsorted(ends, first, side="right")
         base = np.concatenate(([0], ends))[doc]
-        parts.append((h, doc + begin, first - base, last - base))
+        parts.append((h, doc + begin, first - base, last - base, at - first))
     if not parts:
-        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -137,9 +139,9 @@ def repeated(table: pa.Table) -> pa.Table:
 def snippets(texts: list[bytes], replies: pa.Table, width: int, shards: int):
     """The block's different snippets by shard, each with its places, the first one first.
 
-    Gives for each shard a list of (text, [(document number, first start, last start, anchor), ...]).
+    Gives for each shard a list of (text, [(document number, first start, last start, anchor, its place from the first), ...]).
     """
-    h, doc, first, last = ranges(texts, width)
+    h, doc, first, last, place = ranges(texts, width)
     known = [np.frombuffer(d, np.uint64) for k, d in zip(replies.column("kind").to_pylist(), replies.column("data").to_pylist(), strict=True) if k == REPEATED]
     known = np.sort(np.concatenate(known or [np.empty(0, np.uint64)]))
     ordered = np.sort(h)
@@ -147,14 +149,14 @@ def snippets(texts: list[bytes], replies: pa.Table, width: int, shards: int):
     pick = np.flatnonzero(in_sorted(h, known) | in_sorted(h, own))
     shard = ((h[pick] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     found: dict[int, dict[bytes, list]] = {}
-    for s, d, a, z, k in zip(shard.tolist(), doc[pick].tolist(), first[pick].tolist(), last[pick].tolist(), h[pick].tolist(), strict=True):
-        found.setdefault(s, {}).setdefault(texts[d][a : z + width], []).append((d, a, z, k))
+    for s, d, a, z, k, p in zip(shard.tolist(), *(x[pick].tolist() for x in (doc, first, last, h, place)), strict=True):
+        found.setdefault(s, {}).setdefault(texts[d][a : z + width], []).append((d, a, z, k, p))
     return {s: list(x.items()) for s, x in sorted(found.items())}
 
 
 def snippets_of(width: int, shards: int):
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {k: [] for k in ("shard", "block", "anchors", "bytes", "lengths", "docs", "starts")}
+        rows: dict[str, list] = {k: [] for k in ("shard", "block", "anchors", "places", "bytes", "lengths", "docs", "starts")}
         if table.num_rows:
             block = table.column("block")[0].as_py()
             ids, texts = read_block(table)
@@ -162,6 +164,7 @@ def snippets_of(width: int, shards: int):
                 rows["shard"].append(s)
                 rows["block"].append(block)
                 rows["anchors"].append(np.array([p[0][3] for _, p in items], np.uint64).tobytes())
+                rows["places"].append(np.array([p[0][4] for _, p in items], np.uint16).tobytes())
                 rows["bytes"].append(b"".join(t for t, _ in items))
                 rows["lengths"].append(np.array([len(t) for t, _ in items], np.uint32).tobytes())
                 rows["docs"].append(ids[[p[0][0] for _, p in items]].tobytes())
@@ -197,52 +200,103 @@ def earlier_windows(texts: list[bytes], place: np.ndarray, width: int) -> list[t
     return [(int(t), int(x - base[t]), int(y - base[t])) for t, x, y in zip(text[a], a, z, strict=True)]
 
 
-def batches(anchor: dict[bytes, int]):
-    """The texts in batches of about BATCH bytes; those of one anchor stay together."""
-    batch: list[bytes] = []
-    size, last = 0, None
-    for t in sorted(anchor, key=anchor.__getitem__):
-        if size >= BATCH and anchor[t] != last:
-            yield batch
+def windows_apart(members: list[int], texts: list[bytes], at: list[int], place: np.ndarray, low: int, high: int, width: int, lost: list):
+    """Splits the snippets of a common anchor into lists that can share windows; gives lists of (number, start, cut).
+
+    Takes the windows that begin low to high bytes from the anchor (at: its place in each
+    text).  All of them hold the same stretch of text around the anchor, so only snippets equal
+    in that stretch can share one; where too many are, each half of the range has a longer
+    stretch.  Of equal cuts the first stays and the others' windows are lost.
+    """
+    alike: dict[bytes, list] = {}
+    for n in members:
+        a, z = max(low, -at[n]), min(high, len(texts[n]) - width - at[n])
+        if a <= z:
+            alike.setdefault(texts[n][at[n] + high : at[n] + low + width], []).append((n, at[n] + a, at[n] + z))
+    for same in alike.values():
+        if len(same) < 2:
+            continue
+        first: dict[tuple, int] = {}
+        for n, a, z in sorted(same, key=lambda x: place[x[0]]):
+            if first.setdefault((texts[n][a : z + width], at[n] - a), n) != n:
+                lost.append((n, a, z + 1))
+        if len(first) < 2:
+            continue
+        if low == high or sum(len(cut) for cut, _ in first) <= BATCH:
+            yield [(n, at[n] - back, cut) for (cut, back), n in first.items()]
+        else:
+            middle = (low + high) // 2
+            for half in ((low, middle), (middle + 1, high)):
+                yield from windows_apart(list(first.values()), texts, at, place, *half, width, lost)
+
+
+def shared_windows(texts: list[bytes], anchor: list[int], at: list[int], place: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(text number, first, end) of window starts of texts that a text of smaller place has too.
+
+    Texts are sorted in batches of whole anchors; an anchor of more than a batch is split first.
+    """
+    lost: list[tuple[int, int, int]] = []
+
+    def look(batch: list[tuple[int, int, bytes]]) -> None:
+        found = earlier_windows([cut for _, _, cut in batch], place[[n for n, _, _ in batch]], width)
+        lost.extend((batch[i][0], batch[i][1] + a, batch[i][1] + z) for i, a, z in found)
+
+    batch: list[tuple[int, int, bytes]] = []
+    size = 0
+    for _, own in groupby(sorted(range(len(texts)), key=anchor.__getitem__), key=anchor.__getitem__):
+        members = list(own)
+        mine = sum(len(texts[n]) for n in members)
+        if mine > BATCH:
+            for part in windows_apart(members, texts, at, place, ANCHOR - width, 0, width, lost):
+                look(part)
+            continue
+        batch += [(n, 0, texts[n]) for n in members]
+        size += mine
+        if size > BATCH:
+            look(batch)
             batch, size = [], 0
-        batch.append(t)
-        size, last = size + len(t), anchor[t]
     if batch:
-        yield batch
+        look(batch)
+    return lost
 
 
 def sorted_of(width: int):
     def answers(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        pieces = list(zip(*(table.column(k).to_pylist() for k in ("block", "anchors", "bytes", "lengths", "docs", "starts")), strict=True))
-        first: dict[bytes, tuple] = {}
-        anchor: dict[bytes, int] = {}
-        sent = []
-        for k, (_, keys, data, lengths, docs, starts) in enumerate(pieces):
-            end = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
-            d, s = np.frombuffer(docs, np.int64).tolist(), np.frombuffer(starts, np.int64).tolist()
-            own = [data[a:z] for a, z in zip([0, *end[:-1]], end, strict=True)]
+        blocks = table.column("block").to_pylist()
+        number: dict[bytes, int] = {}
+        first: list[tuple] = []
+        anchor: list[int] = []
+        at: list[int] = []
+        sent: list[list[int]] = []
+        for k in range(len(blocks)):
+            row = {c: table.column(c)[k].as_py() for c in ("anchors", "places", "bytes", "lengths", "docs", "starts")}
+            end = np.cumsum(np.frombuffer(row["lengths"], np.uint32)).tolist()
+            columns = [np.frombuffer(row[c], kind).tolist() for c, kind in (("docs", np.int64), ("starts", np.int64), ("anchors", np.uint64), ("places", np.uint16))]
+            own = []
+            for i, (a, z, d, s, h, p) in enumerate(zip([0, *end[:-1]], end, *columns, strict=True)):
+                n = number.setdefault(row["bytes"][a:z], len(first))
+                if n == len(first):
+                    first.append((d, s, k, i))
+                    anchor.append(h)
+                    at.append(p)
+                elif (d, s, k, i) < first[n]:
+                    first[n] = (d, s, k, i)
+                own.append(n)
             sent.append(own)
-            anchor.update(zip(own, np.frombuffer(keys, np.uint64).tolist(), strict=True))
-            for i, t in enumerate(own):
-                x = (d[i], s[i], k, i)
-                if t not in first or x < first[t]:
-                    first[t] = x
-        lost: list[list[int]] = [[i for i, t in enumerate(own) if first[t][2:] != (k, i)] for k, own in enumerate(sent)]
-        cut: list[list[tuple]] = [[] for _ in pieces]
-        for texts in batches(anchor):
-            where = [first[t] for t in texts]
-            place = np.empty(len(texts), np.int64)
-            place[sorted(range(len(texts)), key=where.__getitem__)] = np.arange(len(texts))
-            for t, a, z in earlier_windows(texts, place, width):
-                _, _, k, i = where[t]
-                cut[k].append((i, a, z))
+        place = np.empty(len(first), np.int64)
+        place[sorted(range(len(first)), key=first.__getitem__)] = np.arange(len(first))
+        cut: list[list[tuple]] = [[] for _ in blocks]
+        for n, a, z in shared_windows(list(number), anchor, at, place, width):
+            _, _, k, i = first[n]
+            cut[k].append((i, a, z))
         rows = []
-        for k, piece in enumerate(pieces):
-            if lost[k]:
-                rows.append((piece[0], LOST, shard, np.array(lost[k], np.int64).tobytes()))
+        for k, block in enumerate(blocks):
+            gone = [i for i, n in enumerate(sent[k]) if first[n][2:] != (k, i)]
+            if gone:
+                rows.append((block, LOST, shard, np.array(gone, np.int64).tobytes()))
             if cut[k]:
-                rows.append((piece[0], CUT, shard, np.array(cut[k], np.int64).tobytes()))
+                rows.append((block, CUT, shard, np.array(cut[k], np.int64).tobytes()))
         return reply(rows)
 
     return answers
@@ -263,7 +317,7 @@ def kept_of(width: int, shards: int):
         starts, stops = [], []
         for s, items in found.items():
             for i, (_, places) in enumerate(items):
-                for d, a, z, _ in places if (s, i) in lost else places[1:]:
+                for d, a, z, *_ in places if (s, i) in lost else places[1:]:
                     starts.append(base[d] + a)
                     stops.append(base[d] + z + width)
         for k, s, d in zip(*(replies.column(c).to_pylist() for c in ("kind", "shard", "data")), strict=True):
@@ -305,11 +359,11 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     blocks = in_blocks(docs, total)
     shards = bucket_count(total, SHARD_BYTES)
     by_block = blocks.groupBy("block")
-    entries = by_block.applyInArrow(entries_of(width, bucket_count(total // 4)), ENTRIES)
-    known = entries.groupBy("bucket").applyInArrow(repeated, REPLIES)
-    sent = by_block.cogroup(known.groupBy("block")).applyInArrow(snippets_of(width, shards), SNIPPETS)
-    answers = sent.groupBy("shard").applyInArrow(sorted_of(width), REPLIES)
-    return by_block.cogroup(known.unionAll(answers).groupBy("block")).applyInArrow(kept_of(width, shards), OUT)
+    entries = by_block.applyInArrow(tidy(entries_of(width, bucket_count(total // 4))), ENTRIES)
+    known = entries.groupBy("bucket").applyInArrow(tidy(repeated), REPLIES)
+    sent = by_block.cogroup(known.groupBy("block")).applyInArrow(tidy_pair(snippets_of(width, shards)), SNIPPETS)
+    answers = sent.groupBy("shard").applyInArrow(tidy(sorted_of(width)), REPLIES)
+    return by_block.cogroup(known.unionAll(answers).groupBy("block")).applyInArrow(tidy_pair(kept_of(width, shards)), OUT)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
