@@ -326,3 +326,28 @@ def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     bench = [decontaminate.plain(r.text.encode()) for r in spark.read.parquet(f"{base}/benchmark.parquet").collect()]
     kept = {r.doc_id for r in found.collect()}
     assert not any(i in kept for i, r in source.items() if any(b in decontaminate.plain(r.text.encode()) for b in bench))
+
+
+@pytest.mark.parametrize("batch", [1, 400, 5000])
+def test_large_anchors_split_without_loss(monkeypatch, batch):
+    """Windows found do not depend on the size of a batch."""
+    body = "".join(RNG.choice("abcdefgh ") for _ in range(400))
+    own = [("".join(RNG.choice("xyzuvw ") for _ in range(RNG.randrange(120))) + body[RNG.randrange(80) :] + "".join(RNG.choice("ijkl ") for _ in range(RNG.randrange(120)))).encode() for _ in range(25)]
+    own += ["lo ".encode() * 90, "xx lo ".encode() + "lo ".encode() * 80]
+    h, doc, first, last, at = suffix_dedup.ranges(own, 100)
+    found: dict[bytes, tuple] = {}
+    places = []
+    for k in range(len(h)):
+        t = own[doc[k]][first[k] : last[k] + 100]
+        if t not in found:
+            found[t] = (len(found), int(h[k]), int(at[k]))
+            places.append((int(doc[k]), int(first[k])))
+    place = np.array([sorted(places).index(p) for p in places])
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    runs = suffix_dedup.shared_windows(list(found), [x[1] for x in found.values()], [x[2] for x in found.values()], place, 100)
+    lost = {(n, w) for n, a, z in runs for w in range(a, z)}
+    least: dict[bytes, int] = {}
+    windows = [(n, w, t[w : w + 100]) for t, (n, _, _) in found.items() for w in range(len(t) - 99)]
+    for n, _, x in windows:
+        least[x] = min(place[n], least.get(x, 1 << 30))
+    assert lost == {(n, w) for n, w, x in windows if place[n] > least[x]} and lost
