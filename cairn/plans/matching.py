@@ -9,6 +9,7 @@ from cairn.functions import geo, pages
 from cairn.functions.text import ACCENTED, PLAIN
 from cairn.operators import match
 from cairn.operators.search import json_in
+from cairn.operators.sideboxes import sideboxes
 from cairn.plans.basics import SQL_TOKENS, hav
 from cairn.plans.registry import query, table, view
 
@@ -230,6 +231,16 @@ def txt_2(spark, d):
     return table(spark, d, "pages").select("page_id", pages.unwrapped(wrapped).alias("url"))
 
 
+@query("TXT-3", "SELECT page_id, 'tel. ' || CAST(page_id AS STRING) || chr(10) || 'Accesso — da Nord Tempo: 02:' || CAST(10 + page_id % 50 AS STRING) AS told FROM pages")
+def txt_3(spark, d):
+    """Boxes put into each page's side bar."""
+    id_ = F.col("page_id").cast("string")
+    box = lambda title, *content: F.concat(F.lit(f'<div class="sidebox"><h4 class="boxtitle">{title}</h4><div class="boxcontent">'), *content, F.lit("</div></div>"))
+    ways = F.concat(F.lit('<div class="approach-data">da <b>Nord</b> Tempo: 02:'), (10 + F.col("page_id") % 50).cast("string"), F.lit('</div><div class="approach-data">da Sud Tempo: 00:00</div><div class="approach-data">da Est</div>'))
+    bar = F.concat(box("Contatti del rifugio", F.lit("tel.  "), id_, F.lit('<a href="https://facebook.com/x">social</a>')), box("Accesso al rifugio", ways), box("Meteo", F.lit("sole")))
+    return sideboxes(table(spark, d, "pages").select("page_id", F.concat("html", bar).alias("html")))
+
+
 @query("TXT-4", r"""SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(bare, '<article\b[^>]*>(.*)</article>', 1, 'is'), ''), bare), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM
 (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gis'), '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'), '<(nav|footer|header|aside)\b.*?</(nav|footer|header|aside)>', ' ', 'gis') AS bare FROM pages)""")
 def txt_4(spark, d):

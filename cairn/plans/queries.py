@@ -6,7 +6,7 @@ from importlib import import_module
 
 from cairn.plans.registry import ORACLE, QUERIES
 
-for _name in ("basics", "searches", "ingest", "matching", "routing"):
+for _name in ("basics", "searches", "ingest", "matching", "routing", "streams"):
     import_module(f"cairn.plans.{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]
