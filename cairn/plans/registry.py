@@ -25,7 +25,7 @@ FROM customer JOIN part ON p_partkey = c_custkey""",
 FROM orders JOIN part ON p_partkey = o_orderkey % 200""",
     "v_trail_vertices": """SELECT 2000000 + l_orderkey AS osm_id, pos,
   (9000 + (l_orderkey * 31) % 200 + pos) / 1000 AS lng, (46000 + (l_orderkey * 17) % 100 + CAST(floor(pos / 2) AS BIGINT)) / 1000 AS lat
-FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem) t""",
+FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS pos FROM lineitem) t""",
     "v_via_ferrata_attr": """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 2000000 + s_suppkey * 10 ELSE 3000000 + s_suppkey END AS osm_id,
   CASE WHEN s_suppkey % 17 = 0 THEN NULL ELSE concat('Ferrata ', n_name) END AS name,
   CASE s_suppkey % 13 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'E' WHEN 5 THEN 'F' WHEN 6 THEN '1' WHEN 7 THEN '2' WHEN 8 THEN '3' WHEN 9 THEN '4' WHEN 10 THEN '5' WHEN 11 THEN '6' ELSE NULL END AS via_ferrata_scale,
