@@ -235,11 +235,11 @@ GROUP BY p.id, a.area_id HAVING count_if((ay > p.lat) <> (by_ > p.lat) AND p.lng
  OR bool_or((bx - ax) * (p.lat - ay) - (by_ - ay) * (p.lng - ax) = 0 AND p.lng BETWEEN least(ax, bx) AND greatest(ax, bx) AND p.lat BETWEEN least(ay, by_) AND greatest(ay, by_))"""
 
 
-@query("FLT-6", f"SELECT id FROM ({IN_AREA}) WHERE area_id = 7")
+@query("FLT-6", f"SELECT id FROM ({IN_AREA}) i JOIN (SELECT DISTINCT area_id, name FROM v_admin_vertices) a USING (area_id) WHERE name = 'NATION_7'")
 def flt_6(spark, d):
-    area = rings(view(spark, d, "v_admin_vertices").filter("area_id = 7"), ["area_id"])
-    p = view(spark, d, "v_pois").withColumn("area_id", F.lit(7))
-    return p.join(area, "area_id").filter(geo.point_in_rings("lng", "lat", F.col("rings"))).select("id")
+    area = rings(view(spark, d, "v_admin_vertices").filter("name = 'NATION_7'"), ["name"])
+    p = view(spark, d, "v_pois").drop("name").withColumn("name", F.lit("NATION_7"))
+    return p.join(area, "name").filter(geo.point_in_rings("lng", "lat", F.col("rings"))).select("id")
 
 
 @query("FLT-8", "SELECT id, type FROM v_pois WHERE type IN ('hut', 'bivouac')")

@@ -185,14 +185,14 @@ def set_8(spark, d):
     return pois.unionByName(trails).unionByName(ferrate)
 
 
-@query("FLT-7", f"""WITH edges AS (SELECT area_id, lng AS cx, lat AS cy, lead(lng) OVER (PARTITION BY area_id ORDER BY pos) AS dx, lead(lat) OVER (PARTITION BY area_id ORDER BY pos) AS dy FROM v_admin_vertices WHERE area_id = 12),
+@query("FLT-7", f"""WITH edges AS (SELECT area_id, lng AS cx, lat AS cy, lead(lng) OVER (PARTITION BY area_id ORDER BY pos) AS dx, lead(lat) OVER (PARTITION BY area_id ORDER BY pos) AS dy FROM v_admin_vertices WHERE name = 'NATION_12'),
 crossing AS (SELECT DISTINCT osm_id FROM v_segments JOIN edges ON dx IS NOT NULL AND sign((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) * sign((bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax)) < 0 AND sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx)) < 0),
 inner_ AS (SELECT osm_id FROM v_trail_vertices JOIN edges ON dx IS NOT NULL GROUP BY osm_id, pos HAVING count_if((cy > lat) <> (dy > lat) AND lng < (dx - cx) * (lat - cy) / (dy - cy) + cx) % 2 = 1)
 SELECT osm_id FROM crossing UNION SELECT osm_id FROM inner_""")
 def flt_7(spark, d):
-    area = rings(view(spark, d, "v_admin_vertices").filter("area_id = 12"), ["area_id"])
-    one = lines(view(spark, d, "v_trail_vertices"), "osm_id").withColumn("area_id", F.lit(12))
-    return one.join(area, "area_id").filter(geo.line_meets_rings("line", F.col("rings"))).select("osm_id")
+    area = rings(view(spark, d, "v_admin_vertices").filter("name = 'NATION_12'"), ["name"])
+    one = lines(view(spark, d, "v_trail_vertices"), "osm_id").withColumn("name", F.lit("NATION_12"))
+    return one.join(area, "name").filter(geo.line_meets_rings("line", F.col("rings"))).select("osm_id")
 
 
 CHUNKS = "chunks AS (SELECT CAST(i * 100 + j AS BIGINT) AS chunk_id, 9.0 + j * 0.05 AS minx, 46.0 + i * 0.02 AS miny, 9.0 + (j + 1) * 0.05 AS maxx, 46.0 + (i + 1) * 0.02 AS maxy FROM (SELECT unnest(range(8)) AS i) a CROSS JOIN (SELECT unnest(range(6)) AS j) b)"
