@@ -54,15 +54,17 @@ class Pieces(dict):
 class Encoder:
     """Encodes pieces of text; tokens has all single bytes, and a token's number is its rank."""
 
-    def __init__(self, tokens: list[bytes], pattern: str = PATTERN):
+    def __init__(self, tokens: list[bytes], halves: list[tuple[int, int]] | None = None, pattern: str = PATTERN):
         self.tokens = tokens
+        self.sizes = list(map(len, tokens))
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.find = regex.compile(pattern).findall
         self.matches = ahocorasick.Automaton()
         for i, t in enumerate(tokens):
             self.matches.add_word(t.decode("latin-1"), (i, len(t)))
         self.matches.make_automaton()
-        self.halves: dict[int, tuple[int, int]] = {}
+        self.prefixes: dict[int, int] = {}
+        self.halves: dict[int, tuple[int, int]] = dict(enumerate(halves or ()))
         self.fits: dict[tuple[int, int], bool] = {}
         self.known = Pieces(self)
 
@@ -113,19 +115,23 @@ class Encoder:
         """Token numbers of one piece."""
         if (whole := self.rank.get(data)) is not None:
             return [whole]
-        n = len(data)
+        n, sizes, fits = len(data), self.sizes, self.fits
+        # Matches come in order of their ends, so the last one from a start is its longest; a byte always has one.
         longest = [0] * n
         for end, (number, size) in self.matches.iter(data.decode("latin-1")):
-            start = end - size + 1
-            if size > len(self.tokens[longest[start]]) or longest[start] == 0 and size == 1:
-                longest[start] = number
-        # A byte has a token, so each start has a match; number 0 may be a real one.
+            longest[end - size + 1] = number
         dead = bytearray(n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
         while True:
-            size = len(self.tokens[token])
-            if not dead[at + size] and (not out or self.compatible(out[-1], token)):
+            size = sizes[token]
+            if not dead[at + size]:
+                good = not out or fits.get((out[-1], token))
+                if good is None:
+                    good = self.compatible(out[-1], token)
+            else:
+                good = False
+            if good:
                 out.append(token)
                 at += size
                 if at == n:
@@ -133,20 +139,21 @@ class Encoder:
                 token = longest[at]
                 continue
             shorter = self.shorter(token)
-            if shorter is not None:
+            if shorter >= 0:
                 token = shorter
                 continue
             dead[at] = 1
             token = out.pop()
-            at -= len(self.tokens[token])
+            at -= sizes[token]
 
-    def shorter(self, token: int) -> int | None:
-        """The longest token that is a proper prefix of this one."""
-        text = self.tokens[token]
-        for size in range(len(text) - 1, 0, -1):
-            if (found := self.rank.get(text[:size])) is not None:
-                return found
-        return None
+    def shorter(self, token: int) -> int:
+        """The longest token that is a proper prefix of this one; -1 for a byte."""
+        found = self.prefixes.get(token)
+        if found is None:
+            text = self.tokens[token]
+            found = next((self.rank[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.rank), -1)
+            self.prefixes[token] = found
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         """Token numbers of a text, each match of the pattern by itself."""
@@ -156,9 +163,15 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+def vocabulary(path: str) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """Tokens, and the two that each is merged of, worked out once for all tasks."""
+    own = Encoder(read_ranks(path))
+    return own.tokens, [own.split(i) for i in range(len(own.tokens))]
+
+
 def load(spark: SparkSession, path: str):
     """The vocabulary on all executors: a fixed file of under a megabyte."""
-    return spark.sparkContext.broadcast(read_ranks(path))
+    return spark.sparkContext.broadcast(vocabulary(path))
 
 
 def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -168,10 +181,10 @@ def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
     empty text gives no ids and no bytes; ids in doc_id may be null or repeat, and each row
     gives a row.  An empty table gives an empty one.
     """
-    vocabulary = load(docs.sparkSession, path or public_tokenizers.path(VOCABULARY))
+    held = load(docs.sparkSession, path or public_tokenizers.path(VOCABULARY))
 
     def run(batches):
-        code = Encoder(vocabulary.value)
+        code = Encoder(*held.value)
         for batch in batches:
             for part in parts(batch):
                 ids = [code.encode(t or "") for t in part.column(1).to_pylist()]
