@@ -274,6 +274,40 @@ def test_ppm_equals_counting_by_hand(spark, docs):
         assert math.isclose(r.score, score, rel_tol=1e-4, abs_tol=1e-3)
 
 
+def test_ppm_keeps_rare_counts_of_a_large_corpus(spark):
+    """Over 10 MB of training text, what one text alone has counts as it should."""
+    own = random.Random(9)
+    common = [" ".join(own.choice(WORDS) + str(own.randrange(30)) for _ in range(700)) for _ in range(4)]
+    rare = " ".join("".join(own.choice("bcdfghjkqwz") for _ in range(7)) for _ in range(60))
+    weights = {t: 520 for t in common} | {rare: 1}
+    rows = [(i * 520 + k, t, False) for i, t in enumerate(common) for k in range(520)] + [(9000, rare, False), (9001, rare[40:200], True)]
+    assert sum(len(t.encode()) for _, t, _ in rows) > 10 << 20
+    counts = [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
+    for t, n in weights.items():
+        d = bytes(ppm.ORDER) + t.encode().lower() + b"\0"
+        for i in range(ppm.ORDER, len(d)):
+            for k in range(ppm.ORDER + 1):
+                counts[k][d[i - k : i]][d[i]] += n
+    found = ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).filter("doc_id >= 9000 or doc_id = 0").collect()
+    assert len(found) == 3
+    for r in found:
+        d, score = bytes(ppm.ORDER) + {i: t for i, t, _ in rows}[r.doc_id].encode().lower() + b"\0", 0.0
+        for i in range(ppm.ORDER, len(d)):
+            out: set[int] = set()
+            for k in range(ppm.ORDER, -1, -1):
+                left = {s: n for s, n in counts[k].get(d[i - k : i], {}).items() if s not in out}
+                whole = sum(left.values()) + len(left)
+                if d[i] in left:
+                    score += math.log10(left[d[i]] / whole)
+                    break
+                if left:
+                    score += math.log10(len(left) / whole)
+                    out |= set(left)
+            else:
+                score -= math.log10(256 - len(out))
+        assert math.isclose(r.score, score, rel_tol=1e-4, abs_tol=1e-3)
+
+
 def edited(t: str, n: int) -> str:
     for _ in range(n):
         k = RNG.randrange(len(t))
