@@ -1,11 +1,9 @@
 """Benchmark decontamination: item-sized windows of documents within a tenth of edits of an item.
 
 First, windows that can't be so close are left out without loss: within k edits, a window and an
-item share at least length - q + 1 - k * q of their strings of q bytes.  The others are taken at
-the diagonals of their shared strings and embedded by random walks over the text (CGK), which
-turn edit distance into Hamming distance; a window and an item are a candidate pair if they
-agree in a sample of places in one of many tables, as many as reach the target recall.  The exact
-edit distance of the item to the text around the window decides.
+item share at least length - q + 1 - k * q of their strings of q bytes.  All others are candidates,
+taken at the diagonals of their shared strings, and the exact edit distance of the item to the
+text around the window decides.  No candidate is sampled, so no copy is lost at any length.
 """
 
 from __future__ import annotations
@@ -19,11 +17,6 @@ from cairn.llm.blocks import mix, tidied
 
 EDITS = 0.1
 Q = 8
-RECALL = 0.995
-#: Bits sampled for a table, and how often two texts at the edit limit agree in a place of their embeddings.
-SAMPLED = 4
-AGREE = 0.5
-WALKS = 6
 #: Items held by a task at once; more are searched in several passes over the documents.
 ITEM_BYTES = 16 << 20
 CHUNK = 4 << 20
@@ -47,22 +40,6 @@ def allowed(length: int) -> int:
     return max(0, min(int(EDITS * length), (length - Q) // Q))
 
 
-def walk(texts: np.ndarray, lengths: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK embeddings, of steps places, of rows of bytes; past its end a text reads as zeros.
-
-    Each step writes the present byte and stays or goes on by a coin that depends on step and byte.
-    """
-    coins = np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.int64)
-    out = np.zeros((len(texts), steps), np.uint8)
-    at, rows = np.zeros(len(texts), np.int64), np.arange(len(texts))
-    for j in range(steps):
-        inside = at < lengths
-        byte = np.where(inside, texts[rows, np.minimum(at, texts.shape[1] - 1)], 0)
-        out[:, j] = byte
-        at += coins[j][byte] & inside
-    return out
-
-
 def edit_distance(item: bytes, text: bytes) -> int:
     """Least edit distance of item to any substring of text, by bit vectors over the item."""
     n = len(item)
@@ -89,7 +66,7 @@ def edit_distance(item: bytes, text: bytes) -> int:
 class Index:
     """Items with what the search needs; items shorter than Q bytes when plain are not searched."""
 
-    def __init__(self, items: list[tuple[int, bytes]], recall: float = RECALL):
+    def __init__(self, items: list[tuple[int, bytes]]):
         kept = [(i, plain(t)) for i, t in items]
         kept = [(i, t) for i, t in kept if len(t) >= Q]
         self.ids, self.texts = [i for i, _ in kept], [t for _, t in kept]
@@ -110,7 +87,6 @@ class Index:
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(mix(self.keys) >> self.shift).astype(np.int64)] = True
-        self.tables = int(np.ceil(np.log(1 - recall) / np.log(1 - AGREE**SAMPLED)))
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in data, item, place in item) of all shared strings."""
@@ -156,34 +132,6 @@ class Index:
         found = np.unique(np.column_stack((doc, item, start)), axis=0)
         return found[:, 0], found[:, 1], found[:, 2]
 
-    def embedded(self, rows: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """What the sampled places of all tables hold: (rows, tables, places), rows being as long as their items.
-
-        Places lie in the first two thirds of a walk; after that most have ended, and all texts
-        read as zeros.
-        """
-        lengths, out = self.lengths[item], []
-        for w in range(WALKS):
-            e = walk(rows, lengths, 2 * rows.shape[1], w)
-            share = np.random.default_rng(1000 + w).random((-(-self.tables // WALKS), SAMPLED))
-            places = (share * 2 * lengths[:, None, None]).astype(np.int64)
-            out.append(e[np.arange(len(rows))[:, None, None], places])
-        return np.concatenate(out, axis=1)
-
-    def alike(self, data: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Which windows agree with their items in a table's sampled places of a walk."""
-        wide = np.arange(int(self.lengths.max(initial=0)))
-        if not hasattr(self, "own"):
-            flat = np.frombuffer(b"".join(self.texts), np.uint8)
-            first = np.cumsum(self.lengths) - self.lengths
-            self.own = self.embedded(flat[np.minimum(first[:, None] + wide, len(flat) - 1)], np.arange(len(self.texts)))
-        out = np.zeros(len(item), bool)
-        for at in range(0, len(item), 2048):
-            part = slice(at, at + 2048)
-            rows = data[np.clip(start[part, None] + wide, 0, len(data) - 1)]
-            out[part] = (self.embedded(rows, item[part]) == self.own[item[part]]).all(axis=2).any(axis=1)
-        return out
-
     def leaks(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
         """(number of the text, item id, edit distance) of all texts that hold an item."""
         out: dict[tuple[int, int], int] = {}
@@ -198,8 +146,6 @@ class Index:
             data = np.frombuffer(joined, np.uint8)
             ends = np.cumsum([len(t) for t in some])
             doc, item, start = self.windows(data, ends)
-            like = self.alike(data, item, start)
-            doc, item, start = doc[like], item[like], start[like]
             # Windows of one document and item that overlap are looked at together.
             near = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (start[1:] - start[:-1] <= self.lengths[item[1:]])
             head = np.flatnonzero(np.concatenate(([True], ~near)))[: len(doc)]

@@ -330,6 +330,22 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in left.collect()) == [*range(30), 500, 501]
 
 
+@pytest.mark.parametrize("length", [100, 250, 500, 1000, 3000, 5000])
+@pytest.mark.parametrize("even", [True, False])
+def test_decontamination_finds_all_copies_at_the_edit_limit(length, even):
+    own = random.Random(length)
+    text = lambda n: " ".join("".join(own.choice("abcdefghijklmnop") for _ in range(own.randint(2, 9))) for _ in range(n // 3))[:n]
+    items = [text(length - 1) + "x" for _ in range(25)]
+    hosts = []
+    for t in items:
+        b, n = list(t), length // 10
+        for k in range(5, length, 10) if even else own.sample(range(length), n):
+            b[k] = "Z"
+        hosts.append(text(200) + " " + "".join(b) + " " + text(200))
+    found = decontaminate.Index([(i, t.encode()) for i, t in enumerate(items)]).leaks([h.encode() for h in hosts])
+    assert [(d, i) for d, i, _ in found] == [(i, i) for i in range(25)] and all(x <= length // 10 for _, _, x in found)
+
+
 def test_edit_distance_to_substrings():
     def slow(a, t):
         row = [0] * (len(t) + 1)
