@@ -378,6 +378,24 @@ def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     assert not any(i in kept for i, r in source.items() if any(b in decontaminate.plain(r.text.encode()) for b in bench))
 
 
+def test_pipeline_drops_near_copies_from_similarity_of_four_fifths(spark):
+    import corpus_pipeline
+
+    own = random.Random(4)
+    words = lambda n: [f"w{own.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for i in range(30):
+        w = words(300)
+        rows.append((10 * i, " ".join(w)))
+        # New words at the end: 296 of 296 + n shingles are shared, so that n = 75 is just under 0.8.
+        want |= {10 * i, 10 * i + 4}
+        for k, n in ((1, 15), (2, 40), (3, 74), (4, 75)):
+            rows.append((10 * i + k, " ".join(w + words(n))))
+    rows += [(900, rows[0][1]), (900, "one text that no other row has"), (901, "two words")]
+    found = {r.doc_id: r.text for r in corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()}
+    assert set(found) == want | {900, 901} and found[900].startswith("one text")
+
+
 @pytest.mark.parametrize("batch", [1, 400, 5000])
 def test_large_anchors_split_without_loss(monkeypatch, batch):
     """Windows found do not depend on the size of a batch."""
