@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def rounds(most: int | None) -> Iterator[int]:
+    """Numbers of rounds; an error once most are over, since what is there by then is a part of the result."""
+    for n in count():
+        if most is not None and n >= most:
+            raise RuntimeError(f"not done after {most} rounds")
+        yield n
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, without its lineage."""
     shared_folder(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.session import kept
+from cairn.functions.session import kept, rounds
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int | None = None) -> DataFrame:
     """(node, component): the least node reachable, for every node that an edge names.
 
     Edges are pairs of longs in columns u and v, in any direction; edges with a null end are
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     loops = both.filter("u = v").select(F.col("u").alias("node"))
     now = kept(both.filter("u <> v").distinct())
     before = None
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         now = kept(_star(_star(now, large=True), large=False))
         # Both steps only ever lower the far end of an edge: equal sums mean nothing moved.
         state = now.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.geo import cell, cell_id, haversine, node_key
-from cairn.functions.session import kept
+from cairn.functions.session import kept, rounds
 from cairn.operators.components import connected_components
 from cairn.operators.lines import vertex_pairs
 from cairn.operators.spatial import near_points, nearest
@@ -33,17 +33,17 @@ def close_nodes(nodes: DataFrame) -> DataFrame:
     return near.filter(units & (F.col("t") < F.col("s"))).select("later", "earlier", "dist")
 
 
-def merged(nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
+def merged(nodes: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """GRF-2: (node, leader), greedy in order of first sight: the nearest leader within reach, or a leader itself.
 
     A node is decided once all its earlier neighbours are, so the rounds are as many as the
-    longest chain of close nodes.
+    longest chain of close nodes; an error is raised where max_rounds are too few.
     """
     pairs = kept(close_nodes(nodes))
     waiting = pairs.select(F.col("later").alias("node")).distinct()
     done = kept(nodes.select("node").join(waiting, "node", "left_anti").select("node", F.col("node").alias("leader")))
     left = kept(waiting)
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         if left.isEmpty():
             break
         open_ = pairs.join(left.select(F.col("node").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("node")).distinct()

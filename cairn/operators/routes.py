@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.geo import bearing, between, haversine
-from cairn.functions.session import kept
+from cairn.functions.session import kept, rounds
 
 PENALTY, SHARED = 8.0, 0.7
 STATE = "request long, node long, cost double, length double, path array<long>, stops array<long>, fresh boolean"
 
 
-def shortest(requests: DataFrame, edges: DataFrame, penalties: DataFrame | None = None, max_rounds: int = 5000, every: int = 4) -> DataFrame:
+def shortest(requests: DataFrame, edges: DataFrame, penalties: DataFrame | None = None, max_rounds: int | None = None, every: int = 4) -> DataFrame:
     """GRF-6: (request, cost, length, path, stops) of the cheapest path of each (request, source, target).
 
     edges is (edge, a, b, weight) in both directions.  penalties (request, edge, factor)
@@ -22,7 +22,7 @@ def shortest(requests: DataFrame, edges: DataFrame, penalties: DataFrame | None
     """
     asked = kept(requests.filter("source <> target").select("request", "source", "target"))
     state = asked.select("request", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("length"), F.array().cast("array<bigint>").alias("path"), F.array(F.col("source")).alias("stops"), F.lit(True).alias("fresh"))
-    for n in range(max_rounds):
+    for n in rounds(max_rounds):
         front = state.filter("fresh").join(edges, F.col("node") == F.col("a"))
         if penalties is not None:
             front = front.join(penalties, ["request", "edge"], "left")

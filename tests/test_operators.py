@@ -4,6 +4,7 @@ import heapq
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import geo, pages, text
@@ -200,3 +201,24 @@ def test_streams(spark, tmp_path):
     q = admitted_stream(calls, 2, 5).writeStream.format("memory").queryName("passed").option("checkpointLocation", str(tmp_path / "cq")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.event_id for r in spark.table("passed").collect()) == [0, 1, 3, 4, 6]
+
+
+def test_rounds_give_the_whole_result_or_an_error(spark):
+    """Too few rounds are an error, never a part of the nodes, components or routes."""
+    from cairn.operators.components import connected_components
+    from cairn.operators.graph import merged
+    from cairn.operators.routes import shortest
+
+    # A track with a vertex every 2.5 m: each node waits for the one before it.
+    track = spark.createDataFrame([(i, 9.0, 46.0 + i * 2.25e-5, (1, i)) for i in range(8)], "node long, lng double, lat double, seen struct<k:long,pos:long>")
+    with pytest.raises(RuntimeError):
+        merged(track, max_rounds=3)
+    assert {r.node: r.leader for r in merged(track).collect()} == {i: i - i % 2 for i in range(8)}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        connected_components(chain, max_rounds=1)
+    steps = spark.createDataFrame([(i, i, i + 1, 1.0) for i in range(9)], "edge long, a long, b long, weight double")
+    asked = spark.createDataFrame([(1, 0, 9)], "request long, source long, target long")
+    with pytest.raises(RuntimeError):
+        shortest(asked, steps, max_rounds=5)
+    assert shortest(asked, steps).first().cost == 9.0
