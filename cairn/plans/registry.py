@@ -41,7 +41,7 @@ FROM nation CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 UNION ALL SELECT 3 UNIO
     "v_bbox_requests": """SELECT n_nationkey AS request_id, (7400 + 150 * n_nationkey) / 1000 AS minx, (45300 + 40 * n_nationkey) / 1000 AS miny,
   (7400 + 150 * n_nationkey + 300 + 60 * (n_nationkey % 6)) / 1000 AS maxx, (45300 + 40 * n_nationkey + 200) / 1000 AS maxy FROM nation""",
     "v_route_requests": """SELECT s_suppkey AS request_id, (9000 + (s_suppkey * 41) % 190) / 1000 AS from_lng, (46000 + (s_suppkey * 13) % 95) / 1000 AS from_lat,
-  (9000 + (s_suppkey * 67 + 40) % 190) / 1000 AS to_lng, (46000 + (s_suppkey * 19 + 30) % 95) / 1000 AS to_lat FROM supplier WHERE s_suppkey < 20""",
+  (9000 + (s_suppkey * 67 + 40) % 190) / 1000 AS to_lng, (46000 + (s_suppkey * 19 + 30) % 95) / 1000 AS to_lat FROM supplier""",
     "v_places": """SELECT id * 10 + k AS place_id, id AS near_poi,
   CASE k WHEN 0 THEN name WHEN 1 THEN concat(name, '-Tempesti') WHEN 2 THEN concat('Ostello ', name) ELSE concat('Baita ', CAST(id % 7 AS STRING)) END AS display_name,
   lng AS lng, lat + (k * 70 + id % 50) / 111320 AS lat, CASE WHEN id % 9 = k THEN 'parking' ELSE 'lodging' END AS primary_type

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from cairn.plans.queries import ORACLE, QUERIES
-from cairn.plans.registry import TABLES
+from cairn.plans.registry import TABLES, view
 
 SF = "/root/testdata/sf0.001"
 #: Long chains of rounds; their operators have tests of their own.
@@ -48,3 +48,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_each_supplier_is_a_route_request(spark):
+    base = "/root/testdata/sf0.01"
+    assert view(spark, base, "v_route_requests").count() == spark.read.parquet(f"{base}/supplier.parquet").count()
