@@ -222,3 +222,10 @@ def test_rounds_give_the_whole_result_or_an_error(spark):
     with pytest.raises(RuntimeError):
         shortest(asked, steps, max_rounds=5)
     assert shortest(asked, steps).first().cost == 9.0
+
+
+def test_posts_that_hold_the_whole_name(spark):
+    """Names without core tokens, and names that end or begin inside a word."""
+    pois = spark.createDataFrame([(1, "hut", "Rifugio"), (2, "peak", "Monte Ros"), (3, "peak", "Pià"), (4, "peak", None), (5, "peak", " ")], "id long, type string, name string")
+    posts = spark.createDataFrame([(1, "al rifugio oggi"), (2, "sul Monte Rosso!"), (3, "piano piano"), (4, None)], "post_id long, post string")
+    assert {tuple(r) for r in match.relevant_posts(pois, posts).collect()} == {(1, 1), (2, 2), (3, 3)}
