@@ -12,11 +12,13 @@ two tokens is worked out once and remembered.
 from __future__ import annotations
 
 import base64
+from uuid import uuid4
 
 import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,12 @@ from pyspark.sql import functions as F
 from cairn.llm.blocks import tidied
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces and pairs of tokens that a task remembers before it starts over.
-REMEMBERED = 100_000
+#: Memory of one generation of remembered pieces, what one costs beside its text, and pairs of tokens remembered.
+PIECE_BYTES = 96 << 20
+PIECE_COST = 200
+PAIRS = 1 << 19
+#: Text that a task encodes at once.
+PART_BYTES = 8 << 20
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -37,16 +43,26 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class Pieces(dict):
-    """Tokens of pieces seen before, four bytes each; works out the others."""
+    """Tokens of pieces seen before, four bytes each; works out the others.
+
+    There are two generations of at most PIECE_BYTES each.  When the young one is full it
+    becomes the old one, and what is asked for again comes back from there.
+    """
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.size = encoder, 0
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = np.array(self.encoder.piece(word.encode()), np.int32).tobytes()
+        self.size += PIECE_COST + len(word) + len(ids)
+        if self.size > PIECE_BYTES:
+            self.old = dict(self)
             self.clear()
-        ids = np.array(self.encoder.piece(word.encode()), np.int32).tobytes()
+            self.size = PIECE_COST + len(word) + len(ids)
         self[word] = ids
         return ids
 
@@ -65,7 +81,7 @@ class Encoder:
         self.matches.make_automaton()
         self.prefixes: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = dict(enumerate(halves or ()))
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known = Pieces(self)
 
     def split(self, token: int) -> tuple[int, int]:
@@ -88,7 +104,8 @@ class Encoder:
         their border if, at some time, the parts that touch there make a token of lower rank
         than the next merge inside.
         """
-        if below is None and (found := self.fits.get((left, right))) is not None:
+        pair = left * len(self.tokens) + right
+        if below is None and (found := self.fits.get(pair)) is not None:
             return found
         a, b, limit = left, right, len(self.tokens) if below is None else below
         fits = True
@@ -106,16 +123,16 @@ class Encoder:
             else:
                 limit, b = b + 1, inner_b[0]
         if below is None:
-            if len(self.fits) >= REMEMBERED // 2:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            self.fits[left, right] = fits
+            self.fits[pair] = fits
         return fits
 
     def piece(self, data: bytes) -> list[int]:
         """Token numbers of one piece."""
         if (whole := self.rank.get(data)) is not None:
             return [whole]
-        n, sizes, fits = len(data), self.sizes, self.fits
+        n, sizes, fits, kinds = len(data), self.sizes, self.fits, len(self.tokens)
         # Matches come in order of their ends, so the last one from a start is its longest; a byte always has one.
         longest = [0] * n
         for end, (number, size) in self.matches.iter(data.decode("latin-1")):
@@ -126,7 +143,7 @@ class Encoder:
         while True:
             size = sizes[token]
             if not dead[at + size]:
-                good = not out or fits.get((out[-1], token))
+                good = not out or fits.get(out[-1] * kinds + token)
                 if good is None:
                     good = self.compatible(out[-1], token)
             else:
@@ -170,8 +187,20 @@ def vocabulary(path: str) -> tuple[list[bytes], list[tuple[int, int]]]:
 
 
 def load(spark: SparkSession, path: str):
-    """The vocabulary on all executors: a fixed file of under a megabyte."""
-    return spark.sparkContext.broadcast(vocabulary(path))
+    """A name and the vocabulary on all executors: a fixed file of under a megabyte."""
+    return spark.sparkContext.broadcast((uuid4().hex, *vocabulary(path)))
+
+
+_ENCODER: dict[str, Encoder] = {}
+
+
+def encoder(held) -> Encoder:
+    """The worker's encoder of a loaded vocabulary, kept with what it remembers until another one is asked for."""
+    name, tokens, halves = held.value
+    if name not in _ENCODER:
+        _ENCODER.clear()
+        _ENCODER[name] = Encoder(tokens, halves)
+    return _ENCODER[name]
 
 
 def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -179,12 +208,16 @@ def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     docs has doc_id and text; other columns are left out.  path is a rank file.  A null or
     empty text gives no ids and no bytes; ids in doc_id may be null or repeat, and each row
-    gives a row.  An empty table gives an empty one.
+    gives a row.  An empty table gives an empty one.  A very long text takes memory in
+    proportion to its length: rows go in parts of PART_BYTES of text, or one text.
+
+    A worker keeps one encoder between tasks: at most twice PIECE_BYTES of pieces, and PAIRS
+    pairs of tokens.
     """
     held = load(docs.sparkSession, path or public_tokenizers.path(VOCABULARY))
 
     def run(batches):
-        code = Encoder(*held.value)
+        code = encoder(held)
         for batch in batches:
             for part in parts(batch):
                 ids = [code.encode(t or "") for t in part.column(1).to_pylist()]
@@ -195,10 +228,15 @@ def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded binary")
 
 
-def parts(batch: pa.RecordBatch, rows: int = 256):
-    """The batch in parts of a few hundred rows, which bounds what a task holds at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def parts(batch: pa.RecordBatch, rows: int = 256, part_bytes: int = PART_BYTES):
+    """The batch in parts of at most so many rows and bytes of column text (one row at least), which bounds what a task holds at once."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(sizes, before + part_bytes, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
