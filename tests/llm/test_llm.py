@@ -419,3 +419,32 @@ def test_large_anchors_split_without_loss(monkeypatch, batch):
     for n, _, x in windows:
         least[x] = min(place[n], least.get(x, 1 << 30))
     assert lost == {(n, w) for n, w, x in windows if place[n] > least[x]} and lost
+
+
+def test_decontamination_of_short_items_and_long_texts(spark, monkeypatch):
+    """Items of any length at a tenth of edits, against the least distance to any substring; texts longer than a chunk."""
+    own = random.Random(12)
+    item = lambda n: "".join(own.choice("abcdefghij") for _ in range(n))
+    items = [(n, item(n)) for n in (4, 7, 9, 10, 11, 15, 16, 20, 23, 29, 30, 31, 39, 40, 55, 70)]
+    hosts = []
+    for _ in range(6):
+        for n, t in items:
+            b = list(t)
+            for k in own.sample(range(n), n // 10):
+                b[k] = own.choice(["Z", "", b[k] + "Z"])
+            hosts.append("zz " * own.randrange(40) + "".join(b) + " yy" * own.randrange(40))
+    want = {(d, n) for d, h in enumerate(hosts) for n, t in items if decontaminate.edit_distance(t.encode(), h.lower().encode()) <= n // 10}
+    assert len(want) >= len(hosts)
+    index = decontaminate.Index([(n, t.encode()) for n, t in items])
+    assert {(d, i) for d, i, _ in index.leaks([h.encode() for h in hosts])} == want
+    monkeypatch.setattr(decontaminate, "CHUNK", 300)
+    whole = " ".join(hosts).encode()
+    assert {i for _, i, _ in index.leaks([b"", whole])} == {n for n, _ in items}
+    none = decontaminate.contamination(empty(spark), spark.createDataFrame([(1, "some item")], "item_id long, text string"))
+    assert none.count() == 0
+    docs = spark.createDataFrame([(1, "some item", 7), (1, "some item", 7), (None, "Some  item here", 8)], "doc_id long, text string, item_id int")
+    assert decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    bench = spark.createDataFrame([(1, "some item", 0), (1, "some item", 1), (1, "other", 2), (2, " ", 3), (None, "here", 4)], "item_id long, text string, doc_id int")
+    found = [tuple(r) for r in decontaminate.contamination(docs, bench).collect()]
+    assert sorted(found, key=str) == [(1, 1, 0), (1, 1, 0), (None, 1, 0)]
+    assert decontaminate.clean(docs, bench).count() == 0
