@@ -25,27 +25,28 @@ LEVELS = 4
 EVERY = 32
 FEW = 64
 
-PACKED = "part long, ids binary, data binary, width int"
-FOUND = "query_id long, vec_id long, score long"
+PACKED = "part long, ids binary, rows binary, data binary, width int"
+FOUND = "query_row long, query_id long, vec_id long, row long, score long"
 
 
 def packed(table: pa.Table) -> pa.Table:
-    """One row for each group: ids and rows of components, shorter vectors filled with zeros."""
-    ids = table.column("vec_id").to_numpy().astype(np.int64)
+    """One row for each group: ids, row numbers and components, shorter vectors filled with zeros."""
+    ids, rows = (table.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "row"))
     vectors = table.column("v").to_pylist()
     width = max(map(len, vectors))
     data = np.zeros((len(ids), width), np.int64)
     for i, v in enumerate(vectors):
         data[i, : len(v)] = v
-    order = np.argsort(ids, kind="stable")
-    return pa.table({"part": table.column("part")[:1], "ids": pa.array([ids[order].tobytes()], pa.binary()), "data": pa.array([data[order].tobytes()], pa.binary()), "width": pa.array([width], pa.int32())})
+    order = np.lexsort((rows, ids))
+    binary = lambda x: pa.array([x[order].tobytes()], pa.binary())
+    return pa.table({"part": table.column("part")[:1], "ids": binary(ids), "rows": binary(rows), "data": binary(data), "width": pa.array([width], pa.int32())})
 
 
 class Index:
     """Posting segments of a shard: for each dimension and level the vectors and the range of their components."""
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray, levels: int = LEVELS):
-        self.ids, self.data = ids, data
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, data: np.ndarray, levels: int = LEVELS):
+        self.ids, self.numbers, self.data = ids, numbers, data
         low, high = data.min(axis=0), data.max(axis=0)
         level = (data - low) * levels // (high - low + 1)
         self.dim, self.rows, self.values, self.low, self.high = [], [], [], [], []
@@ -64,7 +65,7 @@ class Index:
         self.least, self.most = low, high
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and scores of the k best but own, ties to the smaller id; all exact."""
+        """Places and scores of the k best but the row numbered own, ties to the smaller id, then row number; all exact."""
         n, dims = self.data.shape
         width = min(dims, len(query))
         q = np.zeros(dims, np.int64)
@@ -78,7 +79,7 @@ class Index:
         coming = np.zeros(dims, np.int64)
         np.maximum.at(coming, self.dim, impact)
         candidates = np.arange(n)
-        out = self.ids == own
+        out = self.numbers == own
         for at in range(0, len(order), EVERY):
             for s in order[at : at + EVERY].tolist():
                 d, rows = self.dim[s], self.rows[s]
@@ -96,7 +97,7 @@ class Index:
                     break
         candidates = candidates[~out[candidates]]
         score = self.data[candidates] @ q
-        best = np.lexsort((self.ids[candidates], -score))[:k]
+        best = np.lexsort((self.numbers[candidates], self.ids[candidates], -score))[:k]
         return candidates[best], score[best]
 
 
@@ -106,15 +107,17 @@ def searched(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 if last != row["part"]:
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    last, index = row["part"], Index(ids, np.frombuffer(row["data"], np.int64).reshape(len(ids), -1))
-                asked = np.frombuffer(row["q_ids"], np.int64)
-                vectors = np.frombuffer(row["q_data"], np.int64).reshape(len(asked), -1)
-                out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-                for q, v in zip(asked.tolist(), vectors, strict=True):
-                    rows, scores = index.search(v, q, k)
+                    ids, numbers = (np.frombuffer(row[c], np.int64) for c in ("ids", "rows"))
+                    last, index = row["part"], Index(ids, numbers, np.frombuffer(row["data"], np.int64).reshape(len(ids), row["width"]))
+                asked, own = (np.frombuffer(row[c], np.int64) for c in ("q_ids", "q_rows"))
+                vectors = np.frombuffer(row["q_data"], np.int64).reshape(len(asked), row["q_width"])
+                out: dict[str, list] = {"query_row": [], "query_id": [], "vec_id": [], "row": [], "score": []}
+                for q, number, v in zip(asked.tolist(), own.tolist(), vectors, strict=True):
+                    rows, scores = index.search(v, number, k)
+                    out["query_row"] += [number] * len(rows)
                     out["query_id"] += [q] * len(rows)
                     out["vec_id"] += index.ids[rows].tolist()
+                    out["row"] += index.numbers[rows].tolist()
                     out["score"] += scores.tolist()
                 yield pa.RecordBatch.from_pydict(out, pa.schema([(c, pa.int64()) for c in out]))
 
@@ -122,30 +125,35 @@ def searched(k: int):
 
 
 def integers(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
-    """vec_id and v = floor(1024 * x) of the vectors whose components are all finite; one of each vec_id."""
+    """row (a number of its own), vec_id and v = floor(1024 * x) of the vectors whose components are all finite.
+
+    Rows with a null vec_id are left out, vectors without components stay, and each of several
+    rows of one vec_id stays.
+    """
     x = F.col(vec).cast("array<double>")
     finite = F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
-    good = vectors.filter(F.col(vec).isNotNull() & F.col("vec_id").isNotNull() & finite & (F.size(vec) > 0))
+    good = vectors.filter(F.col(vec).isNotNull() & F.col("vec_id").isNotNull() & finite)
     v = F.transform(x, lambda y: F.floor(y * 1024).cast("long"))
-    return good.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return kept(good.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k largest integer inner products of each query.
 
-    Both have vec_id and v (array of long, of components below 2**31 and products that fit a
-    long), one row of each vec_id; a candidate of the query's own id is left out.  Equal scores
-    go to the smaller vec_id.  Shorter vectors count as filled with zeros.  Without queries or
-    candidates the result is empty.
+    Both have row, vec_id and v (array of long, of components below 2**31 and products that fit a
+    long), as integers gives them: a row's number is its own in both, and the candidate of the
+    query's number is left out.  Of several rows of one vec_id each is a candidate, and each a
+    query with a ranking of its own.  Equal scores go to the smaller vec_id.  Shorter vectors
+    count as filled with zeros.  Without queries or candidates the result is empty; other
+    columns are left out.
     """
-    v = kept(vectors)
+    v, asked = (df.select("row", "vec_id", "v") for df in (vectors, queries))
     shards = max(1, -(-v.count() // SHARD))
-    part = lambda df, n: df.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part"), "vec_id", "v").groupBy("part").applyInArrow(packed, PACKED)
-    asked = kept(queries)
-    blocks = part(asked, max(1, -(-asked.count() // QUERIES))).select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
-    pairs = part(v, shards).join(blocks, "part").select("part", "ids", "data", "q_ids", "q_data")
-    found = pairs.mapInArrow(searched(k), FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    part = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n))).groupBy("part").applyInArrow(packed, PACKED)
+    names = [F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "data", "width")]
+    blocks = part(asked, max(1, -(-asked.count() // QUERIES))).select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
+    found = part(v, shards).join(blocks, "part").mapInArrow(searched(k), FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -448,3 +448,24 @@ def test_decontamination_of_short_items_and_long_texts(spark, monkeypatch):
     found = [tuple(r) for r in decontaminate.contamination(docs, bench).collect()]
     assert sorted(found, key=str) == [(1, 1, 0), (1, 1, 0), (None, 1, 0)]
     assert decontaminate.clean(docs, bench).count() == 0
+
+
+def test_top_k_keeps_repeated_ids_and_empty_vectors(spark):
+    rng = np.random.default_rng(8)
+    ids = [int(x) for x in rng.integers(0, 30, 90)]
+    vectors = [[float(y) for y in rng.normal(size=rng.choice([0, 3, 5]))] for _ in ids]
+    vectors[1], ids[1] = vectors[0], ids[0]
+    rows = [(i, v, k, "x") for k, (i, v) in enumerate(zip(ids, vectors, strict=True))]
+    v = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>, row long, part string").repartition(3))
+    found = defaultdict(list)
+    for r in topk.top_k(v, v.filter("vec_id % 4 = 0")).collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    whole = [[math.floor(1024 * y) for y in x] for x in vectors]
+    want = defaultdict(list)
+    for q in range(len(ids)):
+        if ids[q] % 4 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=False)), ids[c]) for c in range(len(ids)) if c != q)
+            want[ids[q]] += [(n + 1, i, -s) for n, (s, i) in enumerate(scores[:10])]
+    assert {q: sorted(x) for q, x in found.items()} == {q: sorted(x) for q, x in want.items()}
+    lone = topk.integers(spark.createDataFrame([(1, []), (2, [])], "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in topk.top_k(lone, lone).collect()) == [(1, 1, 2, 0), (2, 1, 1, 0)]
