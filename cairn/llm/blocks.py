@@ -1,7 +1,8 @@
 """Documents dealt into blocks of a few megabytes, the unit in which the text operators work.
 
-A block is a hash class of doc_id, so it can be recomputed on any executor, and its size does
-not grow with the input: more text makes more blocks.  What blocks have to tell each other
+A block is a hash class of doc_id and text, so it can be recomputed on any executor, and its size
+does not grow with the input: more text makes more blocks, and rows without doc_id or with a
+repeated one are spread like others.  What blocks have to tell each other
 travels through hash-range buckets as packed arrays, after each block has reduced its own
 repeats, so that a key held by a third of all rows costs one entry per block.
 """
@@ -13,11 +14,13 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
+#: Data of one task beyond which an exchange gets more partitions than the session sets.
+TASK_BYTES = 64 << 20
 #: Stands for a null doc_id inside tasks; it sorts after every other id.
 NO_ID = 2**63 - 1
 
@@ -31,13 +34,21 @@ def in_blocks(docs: DataFrame, total: int, block_bytes: int = BLOCK_BYTES, keep:
     """block int, doc_id long, text string (null: empty), and what keep names; other columns are left out."""
     n = max(1, -(-total // block_bytes))
     return docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), F.lit(n)).cast("int").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         *(keep or []),
     )
 
 
+def grouped(df: DataFrame, key: str, nbytes: int) -> GroupedData:
+    """df by key, in as many partitions as nbytes of data ask for: the session's number, or more."""
+    n = -(-nbytes // TASK_BYTES)
+    if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(n, key)
+    return df.groupBy(key)
+
+
 def bucket_count(nbytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(1, -(-nbytes // bucket_bytes))
 

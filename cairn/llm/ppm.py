@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import bucket_count, bucket_edges, in_blocks, mix, text_bytes, tidied, tidy, tidy_pair
+from cairn.llm.blocks import bucket_count, bucket_edges, grouped, in_blocks, mix, text_bytes, tidied, tidy, tidy_pair
 from cairn.llm.langid import fold
 
 ORDER = 5
@@ -341,16 +341,17 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     A null text counts as empty: one token, the end.  Null and repeated ids each give a row.
     Without training rows, each byte is one of 256 alike.  An empty table gives an empty one.
+    A very long text is one block by itself, read in pieces of whole texts.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.col("held_out"), F.lit(False))
     low = spark.sparkContext.broadcast(count_low(docs.filter(~held).select(F.coalesce("text", F.lit("")).alias("text"))))
     total = text_bytes(docs)
     blocks = in_blocks(docs, total, keep=[held.alias("held_out")])
-    by_block = blocks.groupBy("block")
+    by_block = grouped(blocks, "block", total)
     buckets, of_pairs = bucket_count(total // 2), bucket_count(total, PAIR_BYTES)
     asked = by_block.applyInArrow(asked_of(buckets, of_pairs), ASKED)
-    answers = asked.groupBy("bucket").applyInArrow(answered_of(buckets, low, order), ANSWERS)
+    answers = grouped(asked, "bucket", 2 * total).applyInArrow(answered_of(buckets, low, order), ANSWERS)
     # One plan, so that the exchange of texts by block is made once.
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(scored_of(buckets, of_pairs), OUT)
 

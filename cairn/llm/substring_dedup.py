@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import bucket_count, bucket_edges, id_array, in_blocks, in_sorted, mix, read_block, runs, text_bytes, tidy, tidy_pair
+from cairn.llm.blocks import bucket_count, bucket_edges, grouped, id_array, in_blocks, in_sorted, mix, read_block, runs, text_bytes, tidy, tidy_pair
 
 WINDOW = 13
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -151,15 +151,17 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     A null text has no words and an empty kept_text; so has an empty one.  A null doc_id counts
     as larger than any other and stays null.  Rows with one doc_id don't remove each other's
-    words, and each gives a row.  An empty table gives an empty one.
+    words, and each gives a row.  An empty table gives an empty one.  A very long text is one
+    block by itself, with all its words in memory.
     """
     total = text_bytes(docs)
     blocks = in_blocks(docs, total)
-    entries = blocks.groupBy("block").applyInArrow(tidy(entries_of(width, bucket_count(total + total // 4))), ENTRIES)
-    replies = entries.groupBy("bucket").applyInArrow(tidy(taken), TAKEN)
+    by_block = grouped(blocks, "block", total)
+    entries = by_block.applyInArrow(tidy(entries_of(width, bucket_count(total + total // 4))), ENTRIES)
+    replies = grouped(entries, "bucket", 2 * total).applyInArrow(tidy(taken), TAKEN)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", kind)])
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tidy_pair(empty_safe(kept_of(width), schema)), OUT)
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(tidy_pair(empty_safe(kept_of(width), schema)), OUT)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

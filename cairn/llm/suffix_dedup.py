@@ -4,7 +4,10 @@ A window of 100 bytes is filed under its anchor, the string of 24 bytes in it wi
 hash; equal windows have equal anchors at the same place, so equal windows meet in one shard
 whatever documents they come from.  First the anchors of all blocks are counted, by hash, and
 only text around repeated ones goes on: the windows of one anchor in one document form a
-snippet.  Each block sends a snippet once, with its first place.  A shard sorts the suffixes
+snippet.  Each block sends a snippet once, with its first place.  An anchor of very many
+places has its snippets cut into parts by the distance of the windows from the anchor; all windows
+of a part hold one stretch of text around it, which then decides the shard, so that a passage that
+a third of all documents share is dealt over all shards.  A shard sorts the suffixes
 of its different snippets (suffixes.py), finds windows that agree in 100 bytes by the permuted
 common prefixes, and answers which windows start earlier elsewhere.  The blocks then mark the
 covered bytes.
@@ -16,10 +19,11 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import bucket_count, bucket_edges, id_array, in_blocks, in_sorted, mix, read_block, runs, text_bytes, tidy, tidy_pair
+from cairn.llm.blocks import bucket_count, bucket_edges, grouped, id_array, in_blocks, in_sorted, mix, read_block, runs, text_bytes, tidy, tidy_pair
 from cairn.llm.suffixes import common_prefixes, suffix_ranks
 
 WIDTH = 100
@@ -28,15 +32,20 @@ CHUNK = 1 << 20
 SHARD_BYTES = 4 << 20
 #: Snippets are sorted in batches of whole anchors of about this size.
 BATCH = 1 << 18
+#: Places from which on an anchor is cut into parts, and windows of a part.
+HOT = 256
+PART = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
 SEPARATOR = 0xFF  # in no UTF-8 text
 
-ENTRIES = "bucket int, block int, hashes binary"
+ENTRIES = "bucket int, block int, hashes binary, counts binary"
 REPLIES = "block int, kind int, shard int, data binary"
 SNIPPETS = "shard int, block int, anchors binary, places binary, bytes binary, lengths binary, docs binary, starts binary"
 OUT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"
-REPEATED, LOST, CUT = 0, 1, 2
+REPEATED, OFTEN, LOST, CUT = 0, 1, 2, 3
+#: Bits of an anchor's hash that give way to its place.  A fixed number, so that windows choose alike wherever they are.
+PLACE = np.uint64(32)
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, width: int):
@@ -56,15 +65,14 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int):
         if length == 8:
             eight, power8 = h, power
     h = mix(h[: len(h) - 8] * np.uint64(power8) + eight[16 : 16 + len(h) - 8])
-    bits = max(1, len(data)).bit_length()
-    least = (h >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(h), dtype=np.uint64)
+    least = (h >> PLACE << PLACE) | np.arange(len(h), dtype=np.uint64)
     span, have = width - ANCHOR + 1, 1
     while 2 * have <= span:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
     if have < span:
         least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
-    at = (least[:n] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    at = (least[:n] & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
     start = np.concatenate(([0], ends[:-1]))
     valid = np.zeros(n + 1, np.int8)
     long = ends - start >= width
@@ -109,10 +117,11 @@ def ranges(texts: list[bytes], width: int):
 def entries_of(width: int, buckets: int):
     def entries(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        once = np.unique(ranges(read_block(table)[1], width)[0])
+        once, counts = np.unique(ranges(read_block(table)[1], width)[0], return_counts=True)
+        counts = np.minimum(counts, 255).astype(np.uint8)
         edges = bucket_edges(once, buckets)
         full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), "hashes": pa.array([once[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())})
+        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), **{k: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()) for k, x in (("hashes", once), ("counts", counts))}})
 
     return entries
 
@@ -122,18 +131,37 @@ def reply(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({k: pa.array(v, kind) for k, v, kind in zip(("block", "kind", "shard", "data"), cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)})
 
 
-def repeated(table: pa.Table) -> pa.Table:
-    """For each block of a bucket, its anchors that other blocks have too."""
-    blocks = table.column("block").to_pylist()
-    parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    h = np.sort(np.concatenate(parts))
-    same = h[1:][h[1:] == h[:-1]]
-    rows = []
-    for block, part in zip(blocks, parts, strict=True):
-        shared = part[in_sorted(part, same)]
-        if len(shared):
-            rows.append((block, REPEATED, 0, shared.tobytes()))
-    return reply(rows)
+def repeated_of(hot: int):
+    """For each block of a bucket, its anchors that other blocks have too, and those of hot places (a block counts for 255 at most)."""
+
+    def repeated(table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_pylist()
+        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()])
+        h = np.concatenate(parts)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        several = np.diff(np.append(start, len(h))) > 1
+        often = several & (np.add.reduceat(counts[order].astype(np.int64), start) >= hot)
+        rows = []
+        for kind, same in ((REPEATED, h[start[several & ~often]]), (OFTEN, h[start[often]])):
+            for block, part in zip(blocks, parts, strict=True):
+                shared = part[in_sorted(part, same)]
+                if len(shared):
+                    rows.append((block, kind, 0, shared.tobytes()))
+        return reply(rows)
+
+    return repeated
+
+
+def cut_apart(text: bytes, first: int, last: int, anchor: int, place: int, width: int):
+    """The windows first to last of one anchor in parts: (first, last, key, the anchor's place from the first)."""
+    at = first + place
+    for part in range((at - last) // PART, place // PART + 1):
+        low, high = at - part * PART - PART + 1, at - part * PART
+        a, z = max(first, low), min(last, high)
+        yield a, z, xxhash.xxh64_intdigest(text[high : low + width], anchor ^ part), at - a
 
 
 def snippets(texts: list[bytes], replies: pa.Table, width: int, shards: int):
@@ -142,15 +170,17 @@ def snippets(texts: list[bytes], replies: pa.Table, width: int, shards: int):
     Gives for each shard a list of (text, [(document number, first start, last start, anchor, its place from the first), ...]).
     """
     h, doc, first, last, place = ranges(texts, width)
-    known = [np.frombuffer(d, np.uint64) for k, d in zip(replies.column("kind").to_pylist(), replies.column("data").to_pylist(), strict=True) if k == REPEATED]
-    known = np.sort(np.concatenate(known or [np.empty(0, np.uint64)]))
+    told = list(zip(replies.column("kind").to_pylist(), replies.column("data").to_pylist(), strict=True))
+    known, often = (np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(d, np.uint64) for k, d in told if k == kind)])) for kind in (REPEATED, OFTEN))
     ordered = np.sort(h)
     own = ordered[1:][ordered[1:] == ordered[:-1]]
-    pick = np.flatnonzero(in_sorted(h, known) | in_sorted(h, own))
-    shard = ((h[pick] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    hot = in_sorted(h, often)
+    pick = np.flatnonzero(hot | in_sorted(h, known) | in_sorted(h, own))
     found: dict[int, dict[bytes, list]] = {}
-    for s, d, a, z, k, p in zip(shard.tolist(), *(x[pick].tolist() for x in (doc, first, last, h, place)), strict=True):
-        found.setdefault(s, {}).setdefault(texts[d][a : z + width], []).append((d, a, z, k, p))
+    for d, a, z, k, p, many in zip(*(x[pick].tolist() for x in (doc, first, last, h, place, hot)), strict=True):
+        for cut in cut_apart(texts[d], a, z, k, p, width) if many else ((a, z, k, p),):
+            s = (cut[2] >> 32) * shards >> 32
+            found.setdefault(s, {}).setdefault(texts[d][cut[0] : cut[1] + width], []).append((d, *cut))
     return {s: list(x.items()) for s, x in sorted(found.items())}
 
 
@@ -277,22 +307,22 @@ def sorted_of(width: int):
             for i, (a, z, d, s, h, p) in enumerate(zip([0, *end[:-1]], end, *columns, strict=True)):
                 n = number.setdefault(row["bytes"][a:z], len(first))
                 if n == len(first):
-                    first.append((d, s, k, i))
+                    first.append((d, s, blocks[k], i, k))
                     anchor.append(h)
                     at.append(p)
-                elif (d, s, k, i) < first[n]:
-                    first[n] = (d, s, k, i)
+                elif (d, s, blocks[k], i, k) < first[n]:
+                    first[n] = (d, s, blocks[k], i, k)
                 own.append(n)
             sent.append(own)
         place = np.empty(len(first), np.int64)
         place[sorted(range(len(first)), key=first.__getitem__)] = np.arange(len(first))
         cut: list[list[tuple]] = [[] for _ in blocks]
         for n, a, z in shared_windows(list(number), anchor, at, place, width):
-            _, _, k, i = first[n]
+            *_, i, k = first[n]
             cut[k].append((i, a, z))
         rows = []
         for k, block in enumerate(blocks):
-            gone = [i for i, n in enumerate(sent[k]) if first[n][2:] != (k, i)]
+            gone = [i for i, n in enumerate(sent[k]) if first[n][3:] != (i, k)]
             if gone:
                 rows.append((block, LOST, shard, np.array(gone, np.int64).tobytes()))
             if cut[k]:
@@ -342,27 +372,28 @@ def kept_of(width: int, shards: int):
     return kept
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """Removes each byte covered by a string of width bytes that starts earlier too.
 
     Earlier is in a smaller doc_id, or in the same document at a smaller place; overlapping
     strings count, and all are judged on the input.  docs has doc_id and text; other columns
-    are left out.  width is 64 at least.  Returns doc_id, n_bytes, n_removed, kept (the bytes
+    are left out.  width is 64 at least, and an anchor of hot places is cut into parts.  Returns doc_id, n_bytes, n_removed, kept (the bytes
     that stay; a cut can fall inside a character) and spans (maximal removed runs of bytes,
     end excluded).
 
     A null text counts as empty and keeps nothing.  A null doc_id counts as larger than any
-    other and stays null; of several rows with one doc_id each gives a row, and only the first
-    in order of text keeps what they share.  An empty table gives an empty one.
+    other and stays null; of several rows with one doc_id each gives a row, and of the places of
+    a string in them the earliest keeps it (at one start, one of them).  An empty table gives an
+    empty one.  A very long text is one block by itself and takes some 60 bytes for each of its own.
     """
     total = text_bytes(docs)
     blocks = in_blocks(docs, total)
     shards = bucket_count(total, SHARD_BYTES)
-    by_block = blocks.groupBy("block")
+    by_block = grouped(blocks, "block", total)
     entries = by_block.applyInArrow(tidy(entries_of(width, bucket_count(total // 4))), ENTRIES)
-    known = entries.groupBy("bucket").applyInArrow(tidy(repeated), REPLIES)
+    known = grouped(entries, "bucket", total // 2).applyInArrow(tidy(repeated_of(hot)), REPLIES)
     sent = by_block.cogroup(known.groupBy("block")).applyInArrow(tidy_pair(snippets_of(width, shards)), SNIPPETS)
-    answers = sent.groupBy("shard").applyInArrow(tidy(sorted_of(width)), REPLIES)
+    answers = grouped(sent, "shard", total).applyInArrow(tidy(sorted_of(width)), REPLIES)
     return by_block.cogroup(known.unionAll(answers).groupBy("block")).applyInArrow(tidy_pair(kept_of(width, shards)), OUT)
 
 

@@ -469,3 +469,45 @@ def test_top_k_keeps_repeated_ids_and_empty_vectors(spark):
     assert {q: sorted(x) for q, x in found.items()} == {q: sorted(x) for q, x in want.items()}
     lone = topk.integers(spark.createDataFrame([(1, []), (2, [])], "vec_id long, embedding array<double>"))
     assert sorted(tuple(r) for r in topk.top_k(lone, lone).collect()) == [(1, 1, 2, 0), (2, 1, 1, 0)]
+
+
+def plain_suffix_dedup(rows, width):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - width + 1):
+            w = b[k : k + width]
+            if w in seen:
+                gone[k : k + width] = b"\1" * width
+            seen.add(w)
+        out[i] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+    return out
+
+
+@pytest.mark.parametrize("hot", [2, 256])
+def test_suffix_dedup_of_a_passage_in_most_documents(spark, monkeypatch, hot):
+    """Anchors of very many places are cut into parts and spread over the shards; texts are in blocks of their own."""
+    from cairn.llm import blocks
+
+    own = random.Random(31)
+    text = lambda n: "".join(own.choice("abcdefghijkl ") for _ in range(n))
+    passage = text(420)
+    rows = []
+    for i in range(300):
+        a = own.randrange(200)
+        rows.append((i, text(own.randrange(260)) + passage[a : a + own.randrange(400)] + text(own.randrange(260))))
+    rows += [(400, rows[7][1]), (401, "ab" * 400), (402, passage * 2), (403, "é" * 300)]
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1 << 14)
+    real = blocks.in_blocks
+    monkeypatch.setattr(suffix_dedup, "in_blocks", lambda docs, total: real(docs, total, 1 << 13))
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    assert {r.doc_id: bytes(r.kept) for r in found} == plain_suffix_dedup(rows, 100)
+
+
+def test_rows_without_id_and_of_one_id_are_spread_over_blocks(spark):
+    from cairn.llm import blocks
+
+    table = spark.range(900).selectExpr("case when id % 2 = 0 then null else 5 end as doc_id", "repeat(cast(id as string), 10) as text")
+    sizes = [r["count"] for r in blocks.in_blocks(table, 30 << 10, 1 << 10).groupBy("block").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 70
