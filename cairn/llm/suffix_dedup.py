@@ -85,7 +85,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int):
     # two texts can meet without a gap only if no window ends there, so a range is in one text
     good = at[first] >= 0
     first, last = first[good], last[good]
-    return h[at[first]], at[first], first, last
+    # An anchor's hash is a least one; mixed again it is spread over all buckets and shards.
+    return mix(h[at[first]] + np.uint64(1)), at[first], first, last
 
 
 def chunks(texts: list[bytes]):
