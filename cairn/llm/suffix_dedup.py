@@ -276,6 +276,9 @@ def shared_windows(texts: list[bytes], anchor: list[int], at: list[int], place:
     size = 0
     for _, own in groupby(sorted(range(len(texts)), key=anchor.__getitem__), key=anchor.__getitem__):
         members = list(own)
+        # A text shares no window with itself: in each, the anchor has another place.
+        if len(members) == 1:
+            continue
         mine = sum(len(texts[n]) for n in members)
         if mine > BATCH:
             for part in windows_apart(members, texts, at, place, ANCHOR - width, 0, width, lost):
