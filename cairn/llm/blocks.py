@@ -53,12 +53,12 @@ def bucket_count(nbytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(1, -(-nbytes // bucket_bytes))
 
 
-def read_block(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and UTF-8 texts in the order of doc_id; repeated ids in the order of their texts."""
+def read_block(table: pa.Table) -> tuple[np.ndarray, list[bytes], list[int]]:
+    """Ids and UTF-8 texts in the order of doc_id, repeated ids in the order of their texts; and the rows they are from."""
     ids = table.column("doc_id").fill_null(NO_ID).to_numpy().astype(np.int64)
     texts = table.column("text").cast(pa.binary()).to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-    return ids[order], [texts[i] for i in order]
+    return ids[order], [texts[i] for i in order], order
 
 
 def id_array(ids: np.ndarray) -> pa.Array:

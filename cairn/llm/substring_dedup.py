@@ -41,7 +41,7 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 def hashed(table: pa.Table, width: int):
     """ids, words of each document, all window hashes, and the document each belongs to."""
-    ids, texts = read_block(table)
+    ids, texts, _ = read_block(table)
     words = [t.split() for t in texts]
     parts = [window_hashes(w, width) for w in words]
     owner = np.repeat(np.arange(len(ids)), [len(p) for p in parts])

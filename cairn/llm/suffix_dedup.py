@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairn.llm.blocks import bucket_count, bucket_edges, grouped, id_array, in_blocks, in_sorted, mix, read_block, runs, text_bytes, tidy, tidy_pair
 from cairn.llm.suffixes import common_prefixes, suffix_ranks
@@ -190,7 +191,7 @@ def snippets_of(width: int, shards: int):
         rows: dict[str, list] = {k: [] for k in ("shard", "block", "anchors", "places", "bytes", "lengths", "docs", "starts")}
         if table.num_rows:
             block = table.column("block")[0].as_py()
-            ids, texts = read_block(table)
+            ids, texts, _ = read_block(table)
             for s, items in snippets(texts, replies, width, shards).items():
                 rows["shard"].append(s)
                 rows["block"].append(block)
@@ -338,12 +339,11 @@ def sorted_of(width: int):
 
 def kept_of(width: int, shards: int):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", kind)])
-
     def kept(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return schema.empty_table()
-        ids, texts = read_block(table)
+            schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", kind)])
+            return schema.append(table.schema.field("rest")).empty_table()
+        ids, texts, order = read_block(table)
         base = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         step = np.zeros(base[-1] + 1, np.int32)
         found = snippets(texts, replies, width, shards)
@@ -371,17 +371,17 @@ def kept_of(width: int, shards: int):
             a, z = runs(mine) if n else ((), ())
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, z, strict=True)])
             left.append(np.frombuffer(t, np.uint8)[~mine].tobytes() if n else t)
-        return pa.table({"doc_id": id_array(ids), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(left, pa.binary()), "spans": pa.array(spans, kind)})
+        return pa.table({"doc_id": id_array(ids), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(left, pa.binary()), "spans": pa.array(spans, kind), "rest": table.column("rest").take(pa.array(order))})
 
     return kept
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
     """Removes each byte covered by a string of width bytes that starts earlier too.
 
     Earlier is in a smaller doc_id, or in the same document at a smaller place; overlapping
-    strings count, and all are judged on the input.  docs has doc_id and text; other columns
-    are left out.  width is 64 at least, and an anchor of hot places is cut into parts.  Returns doc_id, n_bytes, n_removed, kept (the bytes
+    strings count, and all are judged on the input.  docs has doc_id and text; of other
+    columns, those named in keep come back as they were, and the rest are left out.  width is 64 at least, and an anchor of hot places is cut into parts.  Returns doc_id, n_bytes, n_removed, kept (the bytes
     that stay; a cut can fall inside a character) and spans (maximal removed runs of bytes,
     end excluded).
 
@@ -391,14 +391,17 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFra
     empty one.  A very long text is one block by itself and takes some 60 bytes for each of its own.
     """
     total = text_bytes(docs)
-    blocks = in_blocks(docs, total)
+    names = keep or []
+    # A struct can't be without fields.
+    blocks = in_blocks(docs, total, keep=[F.struct(*(F.col(f"`{c}`") for c in names), *([] if names else [F.lit(0).alias("none")])).alias("rest")])
+    out = StructType.fromDDL(OUT).add("rest", blocks.schema["rest"].dataType)
     shards = bucket_count(total, SHARD_BYTES)
     by_block = grouped(blocks, "block", total)
     entries = by_block.applyInArrow(tidy(entries_of(width, bucket_count(total // 4))), ENTRIES)
     known = grouped(entries, "bucket", total // 2).applyInArrow(tidy(repeated_of(hot)), REPLIES)
     sent = by_block.cogroup(known.groupBy("block")).applyInArrow(tidy_pair(snippets_of(width, shards)), SNIPPETS)
     answers = grouped(sent, "shard", total).applyInArrow(tidy(sorted_of(width)), REPLIES)
-    return by_block.cogroup(known.unionAll(answers).groupBy("block")).applyInArrow(tidy_pair(kept_of(width, shards)), OUT)
+    return by_block.cogroup(known.unionAll(answers).groupBy("block")).applyInArrow(tidy_pair(kept_of(width, shards)), out).select("doc_id", "n_bytes", "n_removed", "kept", "spans", *(F.col("rest")[c].alias(c) for c in names))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

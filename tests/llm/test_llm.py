@@ -500,7 +500,7 @@ def test_suffix_dedup_of_a_passage_in_most_documents(spark, monkeypatch, hot):
     rows += [(400, rows[7][1]), (401, "ab" * 400), (402, passage * 2), (403, "é" * 300)]
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1 << 14)
     real = blocks.in_blocks
-    monkeypatch.setattr(suffix_dedup, "in_blocks", lambda docs, total: real(docs, total, 1 << 13))
+    monkeypatch.setattr(suffix_dedup, "in_blocks", lambda docs, total, **more: real(docs, total, 1 << 13, **more))
     found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
     assert {r.doc_id: bytes(r.kept) for r in found} == plain_suffix_dedup(rows, 100)
 
@@ -511,3 +511,52 @@ def test_rows_without_id_and_of_one_id_are_spread_over_blocks(spark):
     table = spark.range(900).selectExpr("case when id % 2 = 0 then null else 5 end as doc_id", "repeat(cast(id as string), 10) as text")
     sizes = [r["count"] for r in blocks.in_blocks(table, 30 << 10, 1 << 10).groupBy("block").count().collect()]
     assert len(sizes) == 30 and max(sizes) < 70
+
+
+def test_near_copies_equal_all_pairs_by_brute_force(spark, monkeypatch):
+    """Chains and bundles of copies at many similarities; buckets dealt over several tasks."""
+    from cairn.llm import near_copies
+
+    own = random.Random(77)
+    words = lambda n: [f"w{own.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(12):
+        w = words(own.choice([4, 5, 40, 200]))
+        for _ in range(14):
+            rows.append(" ".join(w))
+            for _ in range(own.choice([0, 1, 2])):
+                k = own.randrange(len(w))
+                w = w[:k] + words(own.choice([0, 1, 3])) + w[k + own.choice([0, 1]) :]
+    rows += ["", " \n", None, rows[3].upper()]
+    monkeypatch.setattr(near_copies, "FAN", 3)
+    table = spark.createDataFrame([(i if i % 5 else None, t, i, "x") for i, t in enumerate(rows)], "doc_id long, text string, key long, node string")
+    found = near_copies.near_copies(table.repartition(5)).collect()
+    assert len(found) == len(rows) and near_copies.near_copies(empty(spark)).count() == 0
+    sets = [frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in rows]
+    top = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                    top[i] = top[j] = min(top[i], top[j])
+    hashed = {h: t for t, h in zip(rows, (r.h for r in table.orderBy("key").selectExpr("xxhash64(text) as h").collect()), strict=True)}
+    groups = defaultdict(set)
+    for r in found:
+        groups[r.component].add(hashed[r.row])
+    want = defaultdict(set)
+    for t, k in zip(rows, top, strict=True):
+        want[k].add(t)
+    assert sorted(map(sorted, ([str(x) for x in g] for g in groups.values()))) == sorted(map(sorted, ([str(x) for x in g] for g in want.values())))
+
+
+def test_pipeline_stages_keep_rows_of_one_id_apart(spark):
+    import corpus_pipeline
+
+    long = "".join(RNG.choice("abcdefgh ") for _ in range(300))
+    rows = [(5, "x", "one " + long, 0, 9), (5, "y", "two", 0, 9), (None, "z", "three " + long, 0, 9), (6, None, None, 0, 9)]
+    table = spark.createDataFrame(rows, "doc_id int, `rest` string, text string, n_chars int, `block` int")
+    left = corpus_pipeline.without_repeats(spark, table, "")
+    assert left.schema == table.schema
+    found = {(r.doc_id, r["rest"]): (r.text, r.n_chars, r.block) for r in left.collect()}
+    assert set(found) == {(5, "x"), (5, "y"), (None, "z"), (6, None)}
+    assert found[5, "x"] == ("one " + long, 304, 9) and found[None, "z"][0] in ("three", "thre", "three ") and found[6, None] == ("", 0, 9)
