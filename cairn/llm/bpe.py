@@ -27,7 +27,7 @@ from cairn.llm.blocks import tidied
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Memory of one generation of remembered pieces, what one costs beside its text, and pairs of tokens remembered.
-PIECE_BYTES = 96 << 20
+PIECE_BYTES = 48 << 20
 PIECE_COST = 200
 PAIRS = 1 << 19
 #: Text that a task encodes at once.
