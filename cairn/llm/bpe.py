@@ -29,7 +29,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Memory of one generation of remembered pieces, what one costs beside its text, and pairs of tokens remembered.
 PIECE_BYTES = 48 << 20
 PIECE_COST = 200
-PAIRS = 1 << 19
+PAIRS = 1 << 18
 #: Text that a task encodes at once.
 PART_BYTES = 8 << 20
 PATTERN = public_tokenizers.PATTERN

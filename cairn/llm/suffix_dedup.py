@@ -29,7 +29,7 @@ from cairn.llm.suffixes import common_prefixes, suffix_ranks
 
 WIDTH = 100
 ANCHOR = 24
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SHARD_BYTES = 4 << 20
 #: Snippets are sorted in batches of whole anchors of about this size.
 BATCH = 1 << 18
@@ -91,7 +91,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int):
 
 
 def chunks(texts: list[bytes]):
-    """Number of the first text, and texts of about a megabyte joined, with their ends."""
+    """Number of the first text, and texts of about CHUNK bytes joined, with their ends."""
     begin = 0
     while begin < len(texts):
         stop, size = begin, 0
