@@ -56,16 +56,20 @@ def penalised(*routes: DataFrame) -> DataFrame:
     return used.distinct().withColumn("factor", F.lit(PENALTY))
 
 
-def alternatives(requests: DataFrame, edges: DataFrame, most: int = 4) -> DataFrame:
-    """GRF-9: up to four routes (request, alt, ...): each new one avoids all edges used so far, and the first that shares 0.7 or more with the first ends the search."""
-    first = shortest(requests, edges)
+def alternatives(requests: DataFrame, edges: DataFrame, most: int = 4, before: DataFrame | None = None) -> DataFrame:
+    """GRF-9: up to four routes (request, alt, ...): each new one avoids all edges used so far, and the first that shares 0.7 or more with the first ends the search.
+
+    before (request, edge, factor) are edges to avoid from the start.
+    """
+    first = shortest(requests, edges, before)
     found = [first.withColumn("alt", F.lit(0))]
     active, routes = requests, [first]
     for alt in range(1, most):
         active = kept(active.join(routes[-1].select("request"), "request", "left_semi"))
         if active.isEmpty():
             break
-        new = shortest(active, edges, penalised(*routes))
+        used = penalised(*routes)
+        new = shortest(active, edges, used if before is None else used.unionByName(before).distinct())
         apart = shared(first, new).filter(F.col("shared") < SHARED).select("request")
         new = kept(new.join(apart, "request", "left_semi"))
         found.append(new.withColumn("alt", F.lit(alt)))
