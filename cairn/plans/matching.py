@@ -225,10 +225,13 @@ def txt_1(spark, d):
     return pages.links(table(spark, d, "pages")).filter(F.length("text") > 2).select("page_id", "href", "text")
 
 
-@query("TXT-2", f"SELECT page_id, url FROM pages")
+@query("TXT-2", r"""WITH h AS (SELECT page_id, list_filter(regexp_extract_all(html, '<a\b[^>]*?href="([^"]*)"[^>]*>.*?</a>', 1, 'is'), lambda x: starts_with(x, '/t')) AS l FROM pages) SELECT page_id, 'http://site.example' || l[1] AS url FROM h WHERE len(l) > 0""")
 def txt_2(spark, d):
-    wrapped = F.concat(F.lit("//lite.example/l/?kh=1&uddg="), F.url_encode("url"), F.lit("&rut=1"))
-    return table(spark, d, "pages").select("page_id", pages.unwrapped(wrapped).alias("url"))
+    """Each page's links, behind a search engine's redirect: the first that leads where it should."""
+    link = F.concat(F.lit("http://site.example"), "href")
+    wrapped = F.concat(F.lit("//lite.example/l/?kh=1&uddg="), F.url_encode(link), F.lit("&rut=1"))
+    found = pages.links(table(spark, d, "pages")).withColumn("url", pages.unwrapped(wrapped))
+    return found.filter(F.col("url").startswith("http://site.example/t")).groupBy("page_id").agg(F.min_by("url", "pos").alias("url"))
 
 
 @query("TXT-3", "SELECT page_id, 'tel. ' || CAST(page_id AS STRING) || chr(10) || 'Accesso — da Nord Tempo: 02:' || CAST(10 + page_id % 50 AS STRING) AS told FROM pages")
@@ -247,9 +250,11 @@ def txt_4(spark, d):
     return table(spark, d, "pages").select("page_id", pages.main_text("html").alias("text"))
 
 
-@query("TXT-5", "SELECT page_id, 'Dislivello: ' || CAST(page_id AS STRING) || ' m | Lunghezza: 1,5 km' AS stats FROM pages")
+@query("TXT-5", "SELECT page_id, concat_ws(' | ', CASE WHEN page_id % 3 > 0 THEN 'Dislivello: ' || length(html) || ' m' END, 'Lunghezza: ' || page_id || ',5 km') AS stats FROM pages")
 def txt_5(spark, d):
-    html = F.concat(F.lit("<p>Dislivello: <b>"), F.col("page_id").cast("string"), F.lit("</b>&nbsp;m</p><i>Lunghezza 1,5 km</i>"))
+    """Figures put behind each whole page."""
+    climb = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("<p>Dislivello: <b>"), F.length("html").cast("string"), F.lit("</b>&nbsp;m</p>"))).otherwise("")
+    html = F.concat("html", climb, F.lit("<i>Lunghezza "), F.col("page_id").cast("string"), F.lit(",5 km</i>"))
     return table(spark, d, "pages").select("page_id", pages.stats(html).alias("stats"))
 
 
@@ -259,15 +264,24 @@ def txt_6(spark, d):
     return table(spark, d, "documents").select("doc_id", pages.useful_paragraphs(text).alias("told"))
 
 
-@query("TXT-7", "SELECT conv_id, 'Best viewpoint' || chr(10) || 'Yes' AS told FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query("TXT-7", r"""WITH q AS (SELECT conv_id, turn, turn % 3 = 2 OR regexp_matches(text, 'terrain|expect|highlight|viewpoint|landmark|wildlife|flora|scenery|feature', 'i') AS useful, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS answer FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY useful DESC, turn, question, answer) AS k FROM (SELECT conv_id, min(turn) AS turn, bool_or(useful) AS useful, question, answer FROM q WHERE answer IS NOT NULL GROUP BY ALL))
+SELECT conv_id, string_agg(substring(trim(regexp_replace(answer, '\s+', ' ', 'g')), 1, 600), chr(10) ORDER BY k) AS told FROM r WHERE k <= 2 GROUP BY conv_id""")
 def txt_7(spark, d):
-    faq = F.array(F.struct(F.lit("Is it open?").alias("question"), F.lit("<b>Yes</b>").alias("answer")), F.struct(F.lit("Which viewpoint?").alias("question"), F.lit("Best  <i>viewpoint</i>").alias("answer")))
-    return table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", pages.two_answers(faq).alias("told"))
+    """Each turn asks, the one after it answers; every third one is about the view."""
+    said = table(spark, d, "conversations")
+    turns = said.withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))).filter("answer IS NOT NULL")
+    question = F.concat(F.when(F.col("turn") % 3 == 2, "Which viewpoint? ").otherwise(""), "text")
+    faq = turns.select("conv_id", F.struct("turn", question.alias("question"), F.concat(F.lit("<b>"), "answer", F.lit("</b>")).alias("answer")).alias("f"))
+    listed = faq.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: F.struct(f["question"].alias("question"), f["answer"].alias("answer"))).alias("faq"))
+    return listed.select("conv_id", pages.two_answers("faq").alias("told"))
 
 
-@query("TXT-8", "SELECT conv_id, turn, '<p>' || turn || '</p>' AS clean FROM conversations")
+@query("TXT-8", "SELECT conv_id, turn, '<p>' || replace(text, '<', '') || '</p>' AS clean FROM conversations")
 def txt_8(spark, d):
-    raw = F.concat(F.lit("<think>"), F.replace("text", F.lit("<"), F.lit("")), F.lit("</think>\n```html\nBene: <p>"), F.col("turn").cast("string"), F.lit("</p>\n```"))
+    """Each turn as a paragraph, after a thought and a preface, in a code fence."""
+    plain = F.replace("text", F.lit("<"), F.lit(""))
+    raw = F.concat(F.lit("<think>"), plain, F.lit("</think>\n```html\nBene: <p>"), plain, F.lit("</p>\n```"))
     return table(spark, d, "conversations").select("conv_id", "turn", pages.sanitised(raw).alias("clean"))
 
 
@@ -283,10 +297,11 @@ def txt_10(spark, d):
     return table(spark, d, "events").select("event_id", line.alias("line"))
 
 
-@query("TXT-11", """SELECT id, CASE id % 3 WHEN 0 THEN chr(10) || '<h3>Google Maps</h3>' || chr(10) || '<p class="gmaps-row"><a href="http://m?a=1&amp;b=2">Apri link Google Maps</a></p>' WHEN 1 THEN chr(10) || '<h3>Google Maps</h3>' || chr(10) || '<p>Nessun link Google Maps disponibile.</p>' ELSE '' END AS block FROM v_pois""")
+@query("TXT-11", """SELECT id, CASE WHEN id % 3 = 0 AND name IS NOT NULL THEN chr(10) || '<h3>Google Maps</h3>' || chr(10) || '<p class="gmaps-row"><a href="http://m?q=' || name || '&amp;id=' || id || '">Apri link Google Maps</a></p>' WHEN id % 3 = 1 THEN chr(10) || '<h3>Google Maps</h3>' || chr(10) || '<p>Nessun link Google Maps disponibile.</p>' ELSE '' END AS block FROM v_pois""")
 def txt_11(spark, d):
     status = F.when(F.col("id") % 3 == 0, "found").when(F.col("id") % 3 == 1, "not_found").otherwise("unavailable")
-    return view(spark, d, "v_pois").select("id", pages.link_block(status, F.lit("http://m?a=1&b=2")).alias("block"))
+    url = F.concat(F.lit("http://m?q="), "name", F.lit("&id="), F.col("id").cast("string"))
+    return view(spark, d, "v_pois").select("id", pages.link_block(status, url).alias("block"))
 
 
 @query("TXT-12", r"SELECT doc_id, CASE WHEN length(text) > 300 THEN substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 1200) WHEN doc_id % 2 = 0 THEN 'faq' ELSE text END AS told FROM documents")

@@ -10,6 +10,7 @@ from cairn.operators import search
 from cairn.operators.lines import lines, rings, vertex_pairs
 from cairn.operators.spatial import lines_in_boxes, near_points, nearest, points_in_areas, points_in_boxes
 from cairn.plans.basics import IN_AREA, hav, meets
+from cairn.plans.ingest import PROGRESS, chunk_progress
 from cairn.plans.registry import query, table, view
 
 ROWS = """fr AS (SELECT osm_id, name, via_ferrata_scale, sac_scale, source_type FROM v_via_ferrata_attr UNION ALL
@@ -75,25 +76,49 @@ def filter_table(spark, d):
     )
 
 
-@query("NRM-1", """SELECT * FROM (VALUES (0, 'hut', NULL, NULL, NULL, 'elevation_desc'), (1, 'peak,bivouac', NULL, NULL, NULL, 'elevation_asc'), (2, 'ferrata', 'D', NULL, 'alpine_hiking', 'name'), (3, '', NULL, 'red', NULL, 'elevation_desc'), (4, 'hut', NULL, NULL, NULL, 'elevation_desc')) t(filter_id, types, grade_min, name_contains, sac_scale, sort) WHERE filter_id IN (SELECT r_regionkey FROM region)""")
+def customer_filters(spark, d):
+    """What each customer asks for as JSON, with keys that lack, are unknown, out of range or of another type."""
+    k = F.col("c_custkey")
+    case = lambda n, *xs: F.element_at(F.array(*xs), (k % n + 1).cast("int"))
+    words = lambda *xs: F.array(*map(F.lit, xs))
+    none = F.lit(None)
+    area = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    asked = F.struct(
+        case(4, words("hut", "hut", "castle"), words("peak", "bivouac"), words("ferrata"), none).alias("types"),
+        F.when(k % 3 == 0, k % 3000 - 10).alias("minElevation"),
+        F.when(k % 5 == 0, k * 7 % 3500).alias("maxElevation"),
+        F.struct(F.when(k % 2 == 0, (k % 2500).cast("string")).alias("min"), F.when(k % 2 == 0, F.lit(2000)).alias("max")).alias("elevation"),
+        case(4, area("province", F.concat(F.lit(" "), "c_mktsegment")), area("region", F.lit(" ")), area("country", F.col("c_mktsegment")), none).alias("area"),
+        F.struct(F.struct((k % 6 + 1).cast("string").alias("min")).alias("viaFerrataScale"), F.when(k % 2 == 0, words("alpine_hiking", "easy")).alias("sacScale")).alias("difficulty"),
+        F.when(k % 6 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_name", F.lit(" "))).alias("nameContains"),
+        case(3, F.lit("name"), F.lit("height"), F.lit("elevation_asc")).alias("sort"),
+        case(4, F.lit("999"), (k % 40 + 1).cast("string"), none, F.lit("-5")).alias("limit"),
+        case(3, F.lit(-5), k, none).alias("offset"),
+    )
+    return search.filters(table(spark, d, "customer").select(k.alias("filter_id"), F.to_json(asked).alias("json")))
+
+
+@query("NRM-1", """SELECT c_custkey AS filter_id, CASE c_custkey % 4 WHEN 0 THEN 'hut' WHEN 1 THEN 'peak,bivouac' WHEN 2 THEN 'ferrata' ELSE '' END AS types, chr(CAST(65 + c_custkey % 6 AS INTEGER)) AS grade_min,
+CASE WHEN c_custkey % 6 > 0 THEN c_name END AS name_contains, CASE WHEN c_custkey % 2 = 0 THEN 'alpine_hiking' END AS sac_scale, CASE c_custkey % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'elevation_desc' ELSE 'elevation_asc' END AS sort FROM customer""")
 def nrm_1(spark, d):
-    f = search.filters(filter_table(spark, d))
-    return f.select(F.col("filter_id").cast("int").alias("filter_id"), F.array_join("types", ",").alias("types"), "grade_min", "name_contains", F.array_join("sac_scale", ",").alias("sac_scale"), "sort")
+    return customer_filters(spark, d).select("filter_id", F.array_join("types", ",").alias("types"), "grade_min", "name_contains", F.array_join("sac_scale", ",").alias("sac_scale"), "sort")
 
 
-@query("NRM-2", "SELECT * FROM (VALUES (0, 2000.0::DOUBLE, NULL::DOUBLE), (1, 1500.0, 3000.0), (2, NULL, NULL), (3, NULL, NULL), (4, 900.0, NULL)) t(filter_id, min_elevation, max_elevation) WHERE filter_id IN (SELECT r_regionkey FROM region)")
+@query("NRM-2", """WITH n AS (SELECT c_custkey AS k, CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 3000 - 10 WHEN c_custkey % 2 = 0 THEN c_custkey % 2500 END AS DOUBLE) AS low, CAST(CASE WHEN c_custkey % 5 = 0 THEN c_custkey * 7 % 3500 WHEN c_custkey % 2 = 0 THEN 2000 END AS DOUBLE) AS high FROM customer),
+p AS (SELECT k, CASE WHEN low > 0 THEN low END AS low, CASE WHEN high > 0 THEN high END AS high FROM n)
+SELECT k AS filter_id, low AS min_elevation, CASE WHEN low IS NULL OR high >= low THEN high END AS max_elevation FROM p""")
 def nrm_2(spark, d):
-    return search.filters(filter_table(spark, d)).select(F.col("filter_id").cast("int").alias("filter_id"), "min_elevation", "max_elevation")
+    return customer_filters(spark, d).select("filter_id", "min_elevation", "max_elevation")
 
 
-@query("NRM-3", "SELECT * FROM (VALUES (0, NULL, NULL), (1, NULL, NULL), (2, NULL, NULL), (3, NULL, NULL), (4, 'province', 'nation_7')) t(filter_id, area_kind, area_name) WHERE filter_id IN (SELECT r_regionkey FROM region)")
+@query("NRM-3", "SELECT c_custkey AS filter_id, CASE WHEN c_custkey % 4 = 0 THEN 'province' END AS area_kind, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS area_name FROM customer")
 def nrm_3(spark, d):
-    return search.filters(filter_table(spark, d)).select(F.col("filter_id").cast("int").alias("filter_id"), "area_kind", "area_name")
+    return customer_filters(spark, d).select("filter_id", "area_kind", "area_name")
 
 
-@query("NRM-4", 'SELECT * FROM (VALUES (0, 50, 0), (1, 50, 0), (2, 50, 0), (3, 7, 3), (4, 50, 0)) t(filter_id, "limit", "offset") WHERE filter_id IN (SELECT r_regionkey FROM region)')
+@query("NRM-4", """SELECT c_custkey AS filter_id, CAST(CASE c_custkey % 4 WHEN 1 THEN c_custkey % 40 + 1 WHEN 3 THEN 1 ELSE 50 END AS INTEGER) AS "limit", CAST(CASE WHEN c_custkey % 3 = 1 THEN c_custkey ELSE 0 END AS INTEGER) AS "offset" FROM customer""")
 def nrm_4(spark, d):
-    return search.filters(filter_table(spark, d)).select(F.col("filter_id").cast("int").alias("filter_id"), "limit", "offset")
+    return customer_filters(spark, d).select("filter_id", "limit", "offset")
 
 
 NRM_5 = f"""WITH {MATCHES}, inside AS ({IN_AREA}),
@@ -195,20 +220,26 @@ def flt_7(spark, d):
     return one.join(area, "name").filter(geo.line_meets_rings("line", F.col("rings"))).select("osm_id")
 
 
-CHUNKS = "chunks AS (SELECT CAST(i * 100 + j AS BIGINT) AS chunk_id, 9.0 + j * 0.05 AS minx, 46.0 + i * 0.02 AS miny, 9.0 + (j + 1) * 0.05 AS maxx, 46.0 + (i + 1) * 0.02 AS maxy FROM (SELECT unnest(range(8)) AS i) a CROSS JOIN (SELECT unnest(range(6)) AS j) b)"
+#: Steps are doubles, as in Spark.
+CHUNKS = """box AS (SELECT min(lng) AS x, min(lat) AS y, greatest(ceil((max(lng) - min(lng)) / 5e-2), 1) AS cols, greatest(ceil((max(lat) - min(lat)) / 2e-2), 1) AS rows FROM v_trail_vertices HAVING count(*) > 0),
+cell AS (SELECT *, unnest(range(CAST(cols AS BIGINT))) AS j FROM (SELECT *, unnest(range(CAST(rows AS BIGINT))) AS i FROM box)),
+chunks AS (SELECT i * CAST(cols AS BIGINT) + j AS chunk_id, x + j * 5e-2 AS minx, y + i * 2e-2 AS miny, x + (j + 1) * 5e-2 AS maxx, y + (i + 1) * 2e-2 AS maxy FROM cell)"""
 
 
-def grid(spark, minx: float, miny: float, dx: float, dy: float, rows: int, cols: int):
-    """SET-5: chunk grid by whole steps."""
-    i = spark.range(rows).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    at = lambda base, k, step: F.lit(base) + k * F.lit(step)
-    return i.select((F.col("i") * 100 + F.col("j")).alias("chunk_id"), at(minx, F.col("j"), dx).alias("minx"), at(miny, F.col("i"), dy).alias("miny"), at(minx, F.col("j") + 1, dx).alias("maxx"), at(miny, F.col("i") + 1, dy).alias("maxy"))
+def grid(points, dx: float, dy: float):
+    """SET-5: chunks of whole steps over the box of all points, numbered row by row; none without points."""
+    steps = lambda c, d: F.greatest(F.ceil((F.max(c) - F.min(c)) / F.lit(d)), F.lit(1)).cast("long")
+    box = points.agg(F.min("lng").alias("x"), F.min("lat").alias("y"), steps("lng", dx).alias("cols"), steps("lat", dy).alias("rows")).filter("x IS NOT NULL")
+    each = box.withColumn("i", F.explode(F.expr("sequence(0L, rows - 1)"))).withColumn("j", F.explode(F.expr("sequence(0L, cols - 1)")))
+    at = lambda base, k, step: F.col(base) + k * F.lit(step)
+    return each.select((F.col("i") * F.col("cols") + F.col("j")).alias("chunk_id"), at("x", F.col("j"), dx).alias("minx"), at("y", F.col("i"), dy).alias("miny"), at("x", F.col("j") + 1, dx).alias("maxx"), at("y", F.col("i") + 1, dy).alias("maxy"))
 
 
 @query("JOIN-7", f"WITH {CHUNKS} SELECT chunk_id, count(DISTINCT osm_id) AS n FROM chunks LEFT JOIN v_segments ON {meets('minx', 'miny', 'maxx', 'maxy')} GROUP BY chunk_id")
 def join_7(spark, d):
-    chunks = grid(spark, 9.0, 46.0, 0.05, 0.02, 8, 6)
-    hits = lines_in_boxes(view(spark, d, "v_trail_vertices"), "osm_id", chunks, "chunk_id", 0.02)
+    vertices = view(spark, d, "v_trail_vertices")
+    chunks = grid(vertices, 0.05, 0.02)
+    hits = lines_in_boxes(vertices, "osm_id", chunks, "chunk_id", 0.02)
     return chunks.select("chunk_id").join(hits, "chunk_id", "left").groupBy("chunk_id").agg(F.count("osm_id").alias("n"))
 
 
@@ -264,7 +295,7 @@ def set_4(spark, d):
 @query("SET-5", f"WITH {CHUNKS} SELECT chunk_id, printf('%.3f,%.3f,%.3f,%.3f', miny, minx, maxy, maxx) AS chunk_key FROM chunks")
 def set_5(spark, d):
     key = F.format_string("%.3f,%.3f,%.3f,%.3f", "miny", "minx", "maxy", "maxx")
-    return grid(spark, 9.0, 46.0, 0.05, 0.02, 8, 6).select("chunk_id", key.alias("chunk_key"))
+    return grid(view(spark, d, "v_trail_vertices"), 0.05, 0.02).select("chunk_id", key.alias("chunk_key"))
 
 
 @query("SET-6", "SELECT request_id, CAST(q AS INTEGER) AS q, round(minx + (maxx - minx) / 2 * (q % 2), 9) AS minx, round(miny + (maxy - miny) / 2 * (q // 2), 9) AS miny FROM v_bbox_requests CROSS JOIN (SELECT unnest(range(4)) AS q)")
@@ -275,9 +306,11 @@ def set_6(spark, d):
     return view(spark, d, "v_bbox_requests").select("request_id", F.posexplode(four).alias("q", "c")).select("request_id", "q", F.round("c.x", 9).alias("minx"), F.round("c.y", 9).alias("miny"))
 
 
-@query("SET-7", f"WITH {CHUNKS} SELECT chunk_id, printf('%.3f,%.3f', miny, minx) AS chunk_key FROM chunks WHERE chunk_id IN (3, 104, 705)")
+@query("SET-7", f"WITH {CHUNKS}, {PROGRESS} SELECT chunk_id, printf('%.3f,%.3f', miny, minx) AS chunk_key FROM chunks WHERE chunk_id IN (SELECT chunk FROM cp WHERE status = 'failed')")
 def set_7(spark, d):
-    return grid(spark, 9.0, 46.0, 0.05, 0.02, 8, 6).filter(F.col("chunk_id").isin(3, 104, 705)).select("chunk_id", F.format_string("%.3f,%.3f", "miny", "minx").alias("chunk_key"))
+    failed = chunk_progress(spark, d).filter("status = 'failed'").select(F.col("chunk").alias("chunk_id"))
+    chunks = grid(view(spark, d, "v_trail_vertices"), 0.05, 0.02)
+    return chunks.join(failed, "chunk_id", "left_semi").select("chunk_id", F.format_string("%.3f,%.3f", "miny", "minx").alias("chunk_key"))
 
 
 @query("WIN-3", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
