@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cairn.functions.session import shared_folder
 from cairn.plans.matching import QUOTA
 from cairn.plans.registry import query, view
-from cairn.streaming.feeds import admitted_stream, upsert_stream
+from cairn.streaming.feeds import admitted_stream, current_table, upsert_stream
 
 
 @query("STR-1", "SELECT osm_id, CASE WHEN id % 2 = 0 THEN name || ' bis' ELSE name END AS name FROM v_pois")
@@ -20,7 +20,7 @@ def str_1(spark, d):
     rows = p.select("osm_id", "name", F.lit(0).cast("long").alias("seq")).unionAll(p.filter("id % 2 = 0").selectExpr("osm_id", "name || ' bis'", "1L"))
     rows.write.parquet(f"{folder}/in")
     upsert_stream(spark, f"{folder}/in", "osm_id long, name string, seq long", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out/0")
+    return current_table(spark, f"{folder}/out")
 
 
 @query("STR-3", QUOTA)

@@ -17,7 +17,9 @@ from cairn.sources.sinks import upsert
 def upsert_stream(spark: SparkSession, landed: str, schema: str, target: str, checkpoint: str, key: str = "osm_id", seq: str = "seq") -> StreamingQuery:
     """STR-1: landed Parquet files into a keyed table; a file that comes twice changes nothing.
 
-    The table is two folders written in turn; the batch number names the one that is current.
+    The table is two folders written in turn.  Numbers of finished batches are noted beside
+    them, and the last one names the folder that current_table() reads; a batch that runs
+    again after a failure writes the same folder and the same number.
     """
     feed = spark.readStream.schema(schema).parquet(landed)
 
@@ -30,10 +32,17 @@ def upsert_stream(spark: SparkSession, landed: str, schema: str, target: str, ch
                 raise
             before = batch.sparkSession.createDataFrame([], batch.schema).drop(seq)
         upsert(before, batch, key, seq).write.mode("overwrite").parquet(new)
+        batch.sparkSession.range(number, number + 1).toDF("number").write.mode("append").parquet(f"{target}/batches")
 
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_table(spark: SparkSession, target: str) -> DataFrame:
+    """The keyed table of upsert_stream as its last finished batch left it."""
+    last = spark.read.schema("number long").parquet(f"{target}/batches").agg(F.max("number")).first()[0]
+    return spark.read.parquet(f"{target}/{last % 2}")
+
+
 def admit(day_limit: int = DAY_LIMIT, month_limit: int = MONTH_LIMIT) -> Callable:
     """STR-3's state: the day and month that run, and how many calls of each were let through."""
 

@@ -229,3 +229,25 @@ def test_posts_that_hold_the_whole_name(spark):
     pois = spark.createDataFrame([(1, "hut", "Rifugio"), (2, "peak", "Monte Ros"), (3, "peak", "Pià"), (4, "peak", None), (5, "peak", " ")], "id long, type string, name string")
     posts = spark.createDataFrame([(1, "al rifugio oggi"), (2, "sul Monte Rosso!"), (3, "piano piano"), (4, None)], "post_id long, post string")
     assert {tuple(r) for r in match.relevant_posts(pois, posts).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_keyed_stream_over_three_batches(spark, tmp_path):
+    from cairn.streaming.feeds import current_table, upsert_stream
+
+    said = {}
+    for seq, rows in enumerate([{1: "a", 2: "b"}, {2: "c", 3: "d"}, {1: "e"}, {}]):
+        if rows:
+            spark.createDataFrame([(k, v, seq) for k, v in rows.items()], "osm_id long, name string, seq long").write.mode("append").parquet(f"{tmp_path}/in")
+        upsert_stream(spark, f"{tmp_path}/in", "osm_id long, name string, seq long", f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+        said |= rows
+        assert {r.osm_id: r.name for r in current_table(spark, f"{tmp_path}/out").select("osm_id", "name").collect()} == said
+
+
+def test_chunks_cover_all_points(spark):
+    from cairn.plans.searches import grid
+
+    points = spark.createDataFrame([(9.0, 46.0), (9.12, 46.01), (9.03, 46.05)], "lng double, lat double")
+    chunks = grid(points, 0.05, 0.02).collect()
+    assert sorted(c.chunk_id for c in chunks) == list(range(9))
+    assert all(any(c.minx <= x <= c.maxx and c.miny <= y <= c.maxy for c in chunks) for x, y in points.collect())
+    assert grid(points.limit(1), 0.05, 0.02).count() == 1 and grid(points.limit(0), 0.05, 0.02).count() == 0
