@@ -6,15 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import geo, pages
-from cairn.functions.text import distinctive
+from cairn.functions.text import CATEGORY_WORDS, CONTRADICTING, GENERIC_WORDS, distinctive
 from cairn.operators import match
 from cairn.operators.search import json_in
 from cairn.operators.sideboxes import sideboxes
 from cairn.plans.basics import SQL_TOKENS, hav
 from cairn.plans.registry import query, table, view
 
-CONFLICT = {"hut": "['bivacco','bivouac','ostello','albergo','hotel','agriturismo','parcheggio']", "bivouac": "['rifugio','baita','capanna','chalet','casera','ostello','albergo','hotel','agriturismo','parcheggio']"}
-ALL_KINDS = "['rifugio','baita','capanna','chalet','casera','bivacco','bivouac','ostello','albergo','hotel','agriturismo','parcheggio']"
+#: Lists of words, written alike by Python and DuckDB.
+CONFLICT, ALL_KINDS, GENERIC = {kind: str(words) for kind, words in CONTRADICTING.items()}, str(CATEGORY_WORDS), str(GENERIC_WORDS)
 PLACED = f"""pairs AS (SELECT p.id, p.type, q.place_id, list_distinct({SQL_TOKENS.format('p.name')}) AS x, list_distinct({SQL_TOKENS.format('q.display_name')}) AS y, CAST(floor({hav('p.lng', 'p.lat', 'q.lng', 'q.lat')} + 0.5) AS BIGINT) AS metres
 FROM v_pois p JOIN v_places q ON abs(p.lng - q.lng) < 0.01 AND abs(p.lat - q.lat) < 0.01 WHERE p.type IN ('hut', 'bivouac') AND p.name IS NOT NULL AND q.primary_type <> 'parking'),
 gated AS (SELECT id, place_id, metres, CASE WHEN list_has_all(x, y) AND list_has_all(y, x) THEN 1 WHEN list_has_all(x, y) OR list_has_all(y, x) THEN 2 WHEN len(list_filter(x, lambda t: NOT list_contains({ALL_KINDS}, t))) > 0 AND list_has_all(y, list_filter(x, lambda t: NOT list_contains({ALL_KINDS}, t))) THEN 3 END AS tier
@@ -51,7 +51,6 @@ def join_26(spark, d):
 
 
 HIGHLIGHTS = f"hl AS (SELECT place_id AS highlight_id, display_name AS title, lng, lat, place_id % 4 AS seq FROM v_places), hp AS (SELECT p.id, p.name, h.*, {hav('p.lng', 'p.lat', 'h.lng', 'h.lat')} AS dist FROM v_pois p JOIN hl h ON abs(p.lng - h.lng) < 0.1 AND abs(p.lat - h.lat) < 0.06 WHERE p.name IS NOT NULL)"
-GENERIC = "['rifugio','bivacco','bivouac','monte','colle','passo','pizzo','cima','bocchetta','forcella','sentiero','alpe','valle','hut','lake','pass','trail','mountain','peak','summit','valley','reservoir','viewpoint','waterfall','junction']"
 MATCHED = f"""hm AS (SELECT id, highlight_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, seq, highlight_id) AS r FROM (SELECT *, CASE WHEN dist <= 300 THEN 0 WHEN dist <= 800 THEN 1 ELSE 2 END AS tier FROM hp WHERE dist <= 2000 AND (contains(lower(title), lower(name)) OR contains(lower(name), lower(title)) OR len(list_filter(string_split(lower(name), ' '), lambda w: length(w) >= 5 AND NOT list_contains({GENERIC}, w) AND contains(lower(title), w))) > 0))) WHERE r = 1)"""
 
 

@@ -251,3 +251,14 @@ def test_chunks_cover_all_points(spark):
     assert sorted(c.chunk_id for c in chunks) == list(range(9))
     assert all(any(c.minx <= x <= c.maxx and c.miny <= y <= c.maxy for c in chunks) for x, y in points.collect())
     assert grid(points.limit(1), 0.05, 0.02).count() == 1 and grid(points.limit(0), 0.05, 0.02).count() == 0
+
+
+def test_figures_and_generated_text(spark):
+    from cairn.functions.pages import sanitised, stats
+
+    page = "<b>Dislivello</b>:&nbsp;<i>450&#160;m</i> &amp; Lunghezza 3,5&amp;nbsp;km Ferrata: 2h30m"
+    said = ["<think>a\n<p>b</p></think>\n```html\nEcco:\n<H2 class='x'>T</H2>\n<p>c</p>\n```\n", "```\nplain\n```", " no tag \n", "", None]
+    df = spark.createDataFrame([(page, x) for x in said], "page string, said string")
+    found = df.select(stats("page"), sanitised("said")).collect()
+    assert found[0][0] == "Dislivello: 450 m | Lunghezza: 3,5 km | Durata ferrata: 2h30m"
+    assert [r[1] for r in found] == ["<H2 class='x'>T</H2>\n<p>c</p>", "plain", "no tag", "", None]
