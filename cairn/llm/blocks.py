@@ -103,11 +103,30 @@ def give_back() -> None:
         trim(0)
 
 
+_STAYS: dict[str, object] = {}
+
+
+def staying(name: str, make):
+    """What make gives, kept by the worker for its next tasks until another name is asked for or a task runs that keeps nothing."""
+    if name not in _STAYS:
+        let_go()
+        _STAYS[name] = make()
+    return _STAYS[name]
+
+
+def let_go() -> None:
+    """Drops what the worker keeps: any idle worker may take any task, so each would else hold it for good."""
+    if _STAYS:
+        _STAYS.clear()
+        give_back()
+
+
 def tidy(f):
-    """f for one group of rows, giving memory back after it."""
+    """f for one group of rows, without what the worker kept, giving memory back after it."""
 
     @wraps(f)
     def one(table: pa.Table) -> pa.Table:
+        let_go()
         try:
             return f(table)
         finally:
@@ -121,6 +140,7 @@ def tidy_pair(f):
 
     @wraps(f)
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        let_go()
         try:
             return f(left, right)
         finally:
@@ -129,11 +149,13 @@ def tidy_pair(f):
     return both
 
 
-def tidied(f):
-    """The same for a function from batches to batches, after the last one."""
+def tidied(f, keeps: bool = False):
+    """The same for a function from batches to batches, after the last one; one that keeps something says so."""
 
     @wraps(f)
     def run(batches):
+        if not keeps:
+            let_go()
         try:
             yield from f(batches)
         finally:

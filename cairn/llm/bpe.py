@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import tidied
+from cairn.llm.blocks import staying, tidied
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Memory of one generation of remembered pieces, what one costs beside its text, and pairs of tokens remembered.
@@ -191,16 +191,10 @@ def load(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((uuid4().hex, *vocabulary(path)))
 
 
-_ENCODER: dict[str, Encoder] = {}
-
-
 def encoder(held) -> Encoder:
-    """The worker's encoder of a loaded vocabulary, kept with what it remembers until another one is asked for."""
+    """The worker's encoder of a loaded vocabulary, kept with what it remembers between tasks that encode."""
     name, tokens, halves = held.value
-    if name not in _ENCODER:
-        _ENCODER.clear()
-        _ENCODER[name] = Encoder(tokens, halves)
-    return _ENCODER[name]
+    return staying(name, lambda: Encoder(tokens, halves))
 
 
 def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -211,8 +205,8 @@ def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
     gives a row.  An empty table gives an empty one.  A very long text takes memory in
     proportion to its length: rows go in parts of PART_BYTES of text, or one text.
 
-    A worker keeps one encoder between tasks: at most twice PIECE_BYTES of pieces, and PAIRS
-    pairs of tokens.
+    A worker keeps one encoder between tasks that encode: at most twice PIECE_BYTES of pieces, and
+    PAIRS pairs of tokens.
     """
     held = load(docs.sparkSession, path or public_tokenizers.path(VOCABULARY))
 
@@ -225,7 +219,7 @@ def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), listed, pa.array(map(code.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run, keeps=True), "doc_id long, ids array<int>, decoded binary")
 
 
 def parts(batch: pa.RecordBatch, rows: int = 256, part_bytes: int = PART_BYTES):

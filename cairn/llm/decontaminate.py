@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import mix, tidied
+from cairn.llm.blocks import mix, staying, tidied
 
 EDITS = 0.1
 #: Longest shared string of the filter.
@@ -275,16 +275,10 @@ class Index:
                 out[key] = min(distance, out.get(key, distance))
 
 
-_INDEX: dict[str, Index] = {}
-
-
 def index(held) -> Index:
-    """The worker's index of the items sent, kept until others are asked for."""
+    """The worker's index of the items sent, kept between tasks that search for them."""
     name, items = held.value
-    if name not in _INDEX:
-        _INDEX.clear()
-        _INDEX[name] = Index(items)
-    return _INDEX[name]
+    return staying(name, lambda: Index(items))
 
 
 def sent(benchmark: DataFrame, item_bytes: int = ITEM_BYTES):
@@ -318,7 +312,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows, items, distances = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(distances, pa.int32())], ["doc_id", "item_id", "distance"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, item_id long, distance int")
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run, keeps=True), "doc_id long, item_id long, distance int")
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -338,7 +332,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     drop = {d for d, _, _ in index(held).leaks(texts)}
                     yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in drop], pa.int64()))
 
-        docs = docs.mapInArrow(tidied(run), docs.schema)
+        docs = docs.mapInArrow(tidied(run, keeps=True), docs.schema)
     return docs
 
 
