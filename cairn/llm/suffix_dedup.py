@@ -337,7 +337,7 @@ def sorted_of(width: int):
     return answers
 
 
-def kept_of(width: int, shards: int):
+def kept_of(width: int, shards: int, whole: bool):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     def kept(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -370,20 +370,22 @@ def kept_of(width: int, shards: int):
             removed.append(n)
             a, z = runs(mine) if n else ((), ())
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, z, strict=True)])
-            left.append(np.frombuffer(t, np.uint8)[~mine].tobytes() if n else t)
+            stays = np.frombuffer(t, np.uint8)[~mine].tobytes() if n else t
+            left.append(stays.decode("utf-8", "ignore").encode() if whole and n else stays)
         return pa.table({"doc_id": id_array(ids), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(left, pa.binary()), "spans": pa.array(spans, kind), "rest": table.column("rest").take(pa.array(order))})
 
     return kept
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, keep: list[str] | None = None, whole: bool = False) -> DataFrame:
     """Removes each byte covered by a string of width bytes that starts earlier too.
 
     Earlier is in a smaller doc_id, or in the same document at a smaller place; overlapping
     strings count, and all are judged on the input.  docs has doc_id and text; of other
-    columns, those named in keep come back as they were, and the rest are left out.  width is 64 at least, and an anchor of hot places is cut into parts.  Returns doc_id, n_bytes, n_removed, kept (the bytes
-    that stay; a cut can fall inside a character) and spans (maximal removed runs of bytes,
-    end excluded).
+    columns, those named in keep come back as they were, and the rest are left out.  width is 64
+    at least, and an anchor of hot places is cut into parts.  Returns doc_id, n_bytes, n_removed,
+    kept (the bytes that stay; a cut can fall inside a character, and with whole what it leaves of
+    one goes too) and spans (maximal removed runs of bytes, end excluded).
 
     A null text counts as empty and keeps nothing.  A null doc_id counts as larger than any
     other and stays null; of several rows with one doc_id each gives a row, and of the places of
@@ -401,7 +403,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, keep: list
     known = grouped(entries, "bucket", total // 2).applyInArrow(tidy(repeated_of(hot)), REPLIES)
     sent = by_block.cogroup(known.groupBy("block")).applyInArrow(tidy_pair(snippets_of(width, shards)), SNIPPETS)
     answers = grouped(sent, "shard", total).applyInArrow(tidy(sorted_of(width)), REPLIES)
-    return by_block.cogroup(known.unionAll(answers).groupBy("block")).applyInArrow(tidy_pair(kept_of(width, shards)), out).select("doc_id", "n_bytes", "n_removed", "kept", "spans", *(F.col("rest")[c].alias(c) for c in names))
+    return by_block.cogroup(known.unionAll(answers).groupBy("block")).applyInArrow(tidy_pair(kept_of(width, shards, whole)), out).select("doc_id", "n_bytes", "n_removed", "kept", "spans", *(F.col("rest")[c].alias(c) for c in names))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
