@@ -16,6 +16,7 @@ MODULES = {
     "op8_decontaminate": "decontaminate",
     "op9_ppm": "ppm",
     "op10_suffix_dedup": "suffix_dedup",
+    "op13_alignment": "alignment",
 }
 
 
