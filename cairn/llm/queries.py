@@ -16,6 +16,8 @@ MODULES = {
     "op8_decontaminate": "decontaminate",
     "op9_ppm": "ppm",
     "op10_suffix_dedup": "suffix_dedup",
+    "op11_pii": "pii",
+    "op12_conversations": "conversations",
     "op13_alignment": "alignment",
 }
 
