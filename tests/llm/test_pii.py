@@ -38,7 +38,7 @@ TEXTS = ["", None, " \n ", "a@b.c_d@e.f", "@a.b", "a@b", "1.2.3.4.5.6.7.8", "+1"
 
 def test_rules_find_what_their_patterns_say():
     found = [pii.base_spans(t or "") for t in TEXTS]
-    sane = [i for i, t in enumerate(TEXTS) if t is None or "9999" not in t]
+    sane = [i for i, t in enumerate(TEXTS) if t is None or "9" * 100 not in t]
     assert [sorted(found[i]) for i in sane] == [sorted(plain(TEXTS[i])) for i in sane]
     assert all(sum(s[0] == k for f in found for s in f) > 20 for k in range(1, 5))
 
@@ -148,7 +148,7 @@ def test_query_on_the_given_texts_and_on_odd_ones(spark, fitted, tmp_path):
     spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, base string, place int").write.parquet(f"{tmp_path}/documents.parquet")
     found = pii.op11_pii(spark, str(tmp_path)).collect()
     name = lambda spans: ",".join(f"{pii.KINDS[k - 1]}:{a}:{z}" for k, a, z in sorted(spans))
-    want = sorted((i is None, i or 0, hashlib.sha256(name(plain(t)).encode()).hexdigest()) for i, t in rows if not t or "9999" not in t)
+    want = sorted((i is None, i or 0, hashlib.sha256(name(plain(t)).encode()).hexdigest()) for i, t in rows if not t or "9" * 100 not in t)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.base_sha256) for r in found if r.doc_id != 8) == [w for w in want if w[1] != 8]
     assert all(r.spans or not (r.n_email + r.n_ip + r.n_card + r.n_phone) for r in found)
     empty = spark.createDataFrame([], "doc_id long, text string")
