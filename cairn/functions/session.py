@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 from itertools import count
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,30 @@ def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, without its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read again: without its lineage, and with its true size.
+
+    A checkpoint keeps the size that the planner estimates.  A join's estimate is the product of
+    its sides, so over rounds of joins the estimates themselves grow until planning takes longer
+    than the work; here they begin anew.
+    """
+    path = f"{shared_folder(df.sparkSession)}/landed-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Turns:
+    """A table that each round writes anew, in the shared folder; what the round before the last has written is deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/turns-{uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.root}/{self.n}")
+        if self.n > 1:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.n - 1}")
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")

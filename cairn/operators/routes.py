@@ -2,43 +2,136 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.geo import bearing, between, haversine
-from cairn.functions.session import kept, rounds
+from cairn.functions.session import Turns, landed, rounds
 
 PENALTY, SHARED = 8.0, 0.7
-STATE = "request long, node long, cost double, length double, path array<long>, stops array<long>, fresh boolean"
+MOST = 4
+#: Steps of a path that a node of the search carries; longer ones are put together of parts.
+CARRIED = 16
+STEPS = "array<struct<edge: bigint, n: bigint, node: bigint>>"
+NET = ["edge", "a", "b", "weight", "n"]
 
 
-def shortest(requests: DataFrame, edges: DataFrame, penalties: DataFrame | None = None, max_rounds: int | None = None, every: int = 4) -> DataFrame:
-    """GRF-6: (request, cost, length, path, stops) of the cheapest path of each (request, source, target).
+def contracted(edges: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The network (edge, a, b, weight, n) in which each chain of nodes of two neighbours is one edge of n, and the chains.
 
-    edges is (edge, a, b, weight) in both directions.  penalties (request, edge, factor)
-    multiplies weights (JOIN-23); length is without them.  Each round relaxes the edges of the
-    nodes improved in the last one; nodes that already cost more than a found target are left.
-    Equal costs go to the smaller path.  source = target gives no route.
+    edges is (edge, a, b, weight) in both directions, without parallel edges; ends has node,
+    those that a route may begin, pass or end at, which stay.  The chains (edge, node, rank, own, stop)
+    list the edges that an edge towards node is made of, the last one first.  Chains are followed
+    by doubling: after k rounds each edge knows what lies 2**k on, so the rounds are as many as
+    the logarithm of the longest chain.  Rings without a junction, and chains back to where they
+    began, are on no shortest route and left out.
     """
-    asked = kept(requests.filter("source <> target").select("request", "source", "target"))
-    state = asked.select("request", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("length"), F.array().cast("array<bigint>").alias("path"), F.array(F.col("source")).alias("stops"), F.lit(True).alias("fresh"))
+    ends = ends.select("node").distinct()
+    plain = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d")).filter("d = 2").select("node").join(ends, "node", "left_anti")
+    plain = landed(plain)
+    after = edges.select(F.col("edge").alias("next"), F.col("a").alias("b"))
+    ahead = edges.join(plain.withColumnRenamed("node", "b"), "b").join(after, "b").filter(F.col("next") != F.col("edge")).select("edge", "a", "next", F.col("b").alias("at"))
+    now = edges.join(ahead, ["edge", "a"], "left").select("edge", "a", "weight", F.lit(1).cast("long").alias("n"), F.col("b").alias("end"), F.col("edge").alias("last"), "next", "at")
+    open_ = None
+    turns = Turns(edges.sparkSession)
+    while True:
+        now = turns.keep(now)
+        left = now.filter("next is not null").count()
+        if not left or left == open_:  # what no round ends is a ring
+            break
+        open_ = left
+        on = now.select(F.col("edge").alias("next"), F.col("a").alias("at"), F.col("weight").alias("w"), F.col("n").alias("m"), F.col("end").alias("e"), F.col("last").alias("l"), F.col("next").alias("nn"), F.col("at").alias("na"))
+        went = now.filter("next is not null").join(on, ["next", "at"]).select("edge", "a", (F.col("weight") + F.col("w")).alias("weight"), (F.col("n") + F.col("m")).alias("n"), F.col("e").alias("end"), F.col("l").alias("last"), F.col("nn").alias("next"), F.col("na").alias("at"))
+        now = now.filter("next is null").unionAll(went)
+    whole = now.filter("next is null")
+    first = whole.join(plain.withColumnRenamed("node", "a"), "a", "left_anti").filter(F.col("a") != F.col("end"))
+    name = F.when(F.col("n") == 1, F.col("edge")).otherwise(F.xxhash64(F.least("edge", "last"), F.greatest("edge", "last")))
+    first = landed(first.withColumn("name", name))
+    net = first.select(F.col("name").alias("edge"), "a", F.col("end").alias("b"), "weight", "n")
+    stops = edges.select("edge", "a", F.col("b").alias("stop"))
+    members = whole.select("edge", "a", "n", "end", "last").join(first.select("name", "end", "last"), ["end", "last"]).join(stops, ["edge", "a"])
+    return net, members.select(F.col("name").alias("edge"), F.col("end").alias("node"), F.col("n").alias("rank"), F.col("edge").alias("own"), "stop")
+
+
+def uncontracted(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("n", F.lit(1).cast("long")).select(*NET)
+
+
+def unpacked(routes: DataFrame, chains: DataFrame | None) -> DataFrame:
+    """Routes with path as edges before contraction (array of long) and stops, the nodes from the source on; other columns stay."""
+    if chains is None:
+        return routes.withColumns({"path": F.col("steps.edge"), "stops": F.concat(F.array("source"), F.col("steps.node"))}).drop("steps", "source")
+    routes = landed(routes.withColumn("row", F.xxhash64(*(c for c in routes.columns if c != "steps"), F.col("steps"))))
+    each = routes.select("row", F.posexplode("steps").alias("i", "step")).select("row", "i", "step.edge", "step.node").distinct()
+    parts = each.join(chains, ["edge", "node"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("rank")).alias("rank"), "own", "stop"))).alias("parts"))
+    return routes.join(parts, "row").withColumns({"path": F.col("parts.own"), "stops": F.concat(F.array("source"), F.col("parts.stop"))}).drop("row", "parts", "steps", "source")
+
+
+def search(requests: DataFrame, net: DataFrame, penalties: DataFrame | None = None, max_rounds: int | None = None, every: int = 4) -> DataFrame:
+    """(request, source, cost, length, steps) of the cheapest path of each (request, source, target) over a network.
+
+    penalties (request, edge, factor) multiplies weights (JOIN-23); length is without them.  Each
+    round relaxes the edges of the nodes improved in the last one; nodes that already cost more
+    than a found target are left.  Equal costs go to the shorter, then to the smaller path.
+    source = target gives no route.
+
+    A node carries the last steps of its path, CARRIED at most, and the node that they begin at;
+    so a row's size is bounded, and a longest path takes a join for each CARRIED steps at the end.
+    """
+    asked = landed(requests.filter("source <> target").select("request", "source", "target"))
+    penalties = None if penalties is None else landed(penalties)
+    state = asked.select("request", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("length"), F.lit(None).cast("long").alias("base"), F.array().cast(STEPS).alias("tail"), F.lit(True).alias("fresh"))
+    columns, turns = state.columns, Turns(state.sparkSession)
     for n in rounds(max_rounds):
-        front = state.filter("fresh").join(edges, F.col("node") == F.col("a"))
+        # Each row stays, and a fresh one goes on over its edges too: the state is read once a round.
+        each = state.join(net, (F.col("node") == F.col("a")) & F.col("fresh"), "left")
+        price = F.col("weight")
         if penalties is not None:
-            front = front.join(penalties, ["request", "edge"], "left")
-            price = F.col("weight") * F.coalesce("factor", F.lit(1.0))
-        else:
-            price = F.col("weight")
-        step = front.select("request", F.col("b").alias("node"), (F.col("cost") + price).alias("cost"), (F.col("length") + F.col("weight")).alias("length"), F.concat("path", F.array("edge")).alias("path"), F.concat("stops", F.array("b")).alias("stops"), F.lit(True).alias("fresh"))
-        both = state.withColumn("fresh", F.lit(False)).unionAll(step)
-        best = both.groupBy("request", "node").agg(F.min(F.struct("cost", "fresh", "path", "length", "stops")).alias("m")).select("request", "node", "m.cost", "m.length", "m.path", "m.stops", "m.fresh")
-        reached = best.join(asked, "request").withColumn("bound", F.min(F.when(F.col("node") == F.col("target"), F.col("cost"))).over(Window.partitionBy("request")))
-        state = reached.withColumn("fresh", F.col("fresh") & (F.col("bound").isNull() | (F.col("cost") < F.col("bound")))).select("request", "node", "cost", "length", "path", "stops", "fresh")
+            each = each.join(penalties, ["request", "edge"], "left")
+            price = price * F.coalesce("factor", F.lit(1.0))
+        full = (F.size("tail") == CARRIED) | F.col("base").isNull()
+        one = F.array(F.struct("edge", F.col("n").cast("long").alias("n"), F.col("b").alias("node")))
+        base, tail = F.when(full, F.col("node")).otherwise(F.col("base")), F.when(full, one).otherwise(F.concat("tail", one))
+        stays = F.struct("node", "cost", "length", F.lit(False).alias("fresh"), "tail", "base")
+        goes = F.struct(F.col("b").alias("node"), (F.col("cost") + price).alias("cost"), (F.col("length") + F.col("weight")).alias("length"), F.lit(True).alias("fresh"), tail.alias("tail"), base.alias("base"))
+        both = each.select("request", F.explode(F.when(F.col("b").isNull(), F.array(stays)).otherwise(F.array(stays, goes))).alias("x")).select("request", "x.*")
+        state = both.groupBy("request", "node").agg(F.min(F.struct("cost", "length", "fresh", "tail", "base")).alias("m")).select("request", "node", "m.cost", "m.length", "m.base", "m.tail", "m.fresh")
         if n % every == every - 1:
-            state = kept(state)
+            reached = state.join(asked, "request").withColumn("bound", F.min(F.when(F.col("node") == F.col("target"), F.col("cost"))).over(Window.partitionBy("request")))
+            state = turns.keep(reached.withColumn("fresh", F.col("fresh") & (F.col("bound").isNull() | (F.col("cost") < F.col("bound")))).select(columns))
             if state.filter("fresh").isEmpty():
                 break
-    return kept(state.join(asked, "request").filter("node = target").select("request", "cost", "length", "path", "stops"))
+    found = state.join(asked, "request").filter("node = target").select("request", "source", "cost", "length", "base", F.col("tail").alias("steps"))
+    found = landed(found)
+    far = found.filter("base <> source")
+    while not far.isEmpty():
+        earlier = state.select("request", F.col("node").alias("base"), F.col("base").alias("before"), F.col("tail").alias("head"))
+        far = landed(far.join(earlier, ["request", "base"]).select("request", "source", "cost", "length", F.col("before").alias("base"), F.concat("head", "steps").alias("steps")))
+        found = found.filter("base = source").unionAll(far)
+        found = landed(found)
+        far = found.filter("base <> source")
+    return found.drop("base")
+
+
+def shortest(requests: DataFrame, edges: DataFrame, penalties: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+    """GRF-6: (request, cost, length, path, stops) of the cheapest path of each (request, source, target) over edges (edge, a, b, weight).
+
+    Without penalties the chains of the graph are one edge each, so the rounds of the search are
+    bound by the junctions on a route.  Penalties (request, edge, factor) are on edges as they are.
+    """
+    if penalties is not None:
+        return unpacked(search(requests, uncontracted(edges), penalties, max_rounds), None).select("request", "cost", "length", "path", "stops")
+    net, chains = contracted(edges, ends_of(requests))
+    return unpacked(search(requests, net, None, max_rounds), chains).select("request", "cost", "length", "path", "stops")
+
+
+def ends_of(requests: DataFrame, *columns: str) -> DataFrame:
+    """(node) of all places that requests name."""
+    out = None
+    for c in columns or ("source", "target"):
+        part = requests.select(F.col(c).alias("node"))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def shared(one: DataFrame, other: DataFrame) -> DataFrame:
@@ -48,30 +141,42 @@ def shared(one: DataFrame, other: DataFrame) -> DataFrame:
     return both.select("request", (n / F.greatest(F.size("p"), F.size("q"))).alias("shared"))
 
 
+def steps_in(steps: Column) -> Column:
+    """Edges before contraction in an array of steps."""
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda sum_, x: sum_ + x["n"])
+
+
+def share(one: Column, other: Column) -> Column:
+    """The same as AGG-10 for arrays of steps."""
+    edges = F.transform(one, lambda x: x["edge"])
+    both = steps_in(F.filter(other, lambda x: F.array_contains(edges, x["edge"])))
+    return both / F.greatest(steps_in(one), steps_in(other))
+
+
 def penalised(*routes: DataFrame) -> DataFrame:
-    """(request, edge, factor) of all edges on the routes."""
-    used = routes[0].select("request", F.explode("path").alias("edge"))
+    """(request, edge, factor) of all edges of the network on the routes."""
+    used = routes[0].select("request", F.explode("steps.edge").alias("edge"))
     for r in routes[1:]:
-        used = used.unionAll(r.select("request", F.explode("path").alias("edge")))
+        used = used.unionAll(r.select("request", F.explode("steps.edge").alias("edge")))
     return used.distinct().withColumn("factor", F.lit(PENALTY))
 
 
-def alternatives(requests: DataFrame, edges: DataFrame, most: int = 4, before: DataFrame | None = None) -> DataFrame:
-    """GRF-9: up to four routes (request, alt, ...): each new one avoids all edges used so far, and the first that shares 0.7 or more with the first ends the search.
+def further(requests: DataFrame, net: DataFrame, most: int = MOST, before: DataFrame | None = None, first: DataFrame | None = None) -> DataFrame:
+    """(request, source, cost, length, steps, alt): GRF-9 over a network.
 
-    before (request, edge, factor) are edges to avoid from the start.
+    before (request, edge, factor) are edges to avoid from the start; first is what search() gives, where that is known.
     """
-    first = shortest(requests, edges, before)
+    first = search(requests, net, before) if first is None else first
     found = [first.withColumn("alt", F.lit(0))]
     active, routes = requests, [first]
     for alt in range(1, most):
-        active = kept(active.join(routes[-1].select("request"), "request", "left_semi"))
+        active = landed(active.join(routes[-1].select("request"), "request", "left_semi"))
         if active.isEmpty():
             break
         used = penalised(*routes)
-        new = shortest(active, edges, used if before is None else used.unionByName(before).distinct())
-        apart = shared(first, new).filter(F.col("shared") < SHARED).select("request")
-        new = kept(new.join(apart, "request", "left_semi"))
+        new = search(active, net, used if before is None else used.unionByName(before).distinct())
+        apart = new.join(first.select("request", F.col("steps").alias("p")), "request").filter(share(F.col("p"), F.col("steps")) < SHARED)
+        new = landed(apart.drop("p"))
         found.append(new.withColumn("alt", F.lit(alt)))
         routes.append(new)
     out = found[0]
@@ -80,47 +185,71 @@ def alternatives(requests: DataFrame, edges: DataFrame, most: int = 4, before: D
     return out
 
 
+def alternatives(requests: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
+    """GRF-9: up to four routes (request, alt, cost, length, path, stops): each new one avoids all edges used so far, and the first that shares 0.7 or more with the first ends the search."""
+    net, chains = contracted(edges, ends_of(requests))
+    return unpacked(further(requests, net, most), chains)
+
+
 def best_snapped(sources: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
-    """GRF-7: (request, length, source, target) of the shortest path from any source to any target of a request.
+    """GRF-7: (request, length, source, target, path, stops) of the shortest path from any source to any target of a request.
 
     sources and targets are (request, node).  Each pair is one request of GRF-6.
     """
     pairs = sources.select("request", F.col("node").alias("source")).join(targets.select("request", F.col("node").alias("target")), "request").filter("source <> target")
-    asked = kept(pairs.withColumn("own", F.col("request")).withColumn("request", F.xxhash64("request", "source", "target")))
+    asked = landed(pairs.withColumn("own", F.col("request")).withColumn("request", F.xxhash64("request", "source", "target")))
     found = shortest(asked, edges).join(asked, "request")
     return found.groupBy(F.col("own").alias("request")).agg(F.min(F.struct("length", "source", "target", "path", "stops")).alias("m")).select("request", "m.*")
 
 
 def round_trip(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """GRF-13: (request, out_length, back_length, only_one_path): the way back avoids the way out."""
-    out = shortest(requests, edges)
+    net, _ = contracted(edges, ends_of(requests))
+    out = search(requests, net)
     turned = requests.select("request", F.col("target").alias("source"), F.col("source").alias("target"))
-    back = shortest(turned, edges, penalised(out))
-    one = shared(out, back).select("request", (F.col("shared") > SHARED).alias("only_one_path"))
-    return out.select("request", F.col("length").alias("out_length")).join(back.select("request", F.col("length").alias("back_length")), "request").join(one, "request")
+    back = search(turned, net, penalised(out))
+    both = out.select("request", F.col("length").alias("out_length"), F.col("steps").alias("p")).join(back.select("request", F.col("length").alias("back_length"), F.col("steps").alias("q")), "request")
+    return both.select("request", "out_length", "back_length", (share(F.col("p"), F.col("q")) > SHARED).alias("only_one_path"))
 
 
-def through(requests: DataFrame, edges: DataFrame, most: int = 4) -> DataFrame:
-    """GRF-10: up to four routes (request, alt, length, path) through via: alternatives of both legs combined, shortest first, each sharing under 0.7 with all kept before."""
-    legs = requests.select((F.col("request") * 2).alias("request"), "source", F.col("via").alias("target")).unionAll(requests.select((F.col("request") * 2 + 1).alias("request"), F.col("via").alias("source"), "target"))
-    alts = kept(alternatives(legs, edges))
-    a = alts.filter("request % 2 = 0").select(F.expr("request div 2").alias("request"), F.col("path").alias("p"), F.col("length").alias("x"))
-    b = alts.filter("request % 2 = 1").select(F.expr("request div 2").alias("request"), F.col("path").alias("q"), F.col("length").alias("y"))
-    left = kept(a.join(b, "request").select("request", (F.col("x") + F.col("y")).alias("length"), F.concat("p", "q").alias("path")))
-    return diverse(left, most)
+def through(requests: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
+    """GRF-10: up to four routes (request, alt, length, path, stops) through via: alternatives of both legs combined (JOIN-25), shortest first, each sharing under 0.7 with all kept before (WIN-12)."""
+    net, chains = contracted(edges, ends_of(requests, "source", "via", "target"))
+    legs = requests.select("request", F.lit(0).alias("leg"), "source", F.col("via").alias("target")).unionAll(requests.select("request", F.lit(1), F.col("via"), "target"))
+    legs = landed(legs.withColumn("own", F.col("request")).withColumn("request", F.xxhash64("own", "leg")))
+    alts = further(legs.select("request", "source", "target"), net).join(legs.select("request", "own", "leg"), "request")
+    return unpacked(diverse(leg_pairs(alts), most), chains)
 
 
-def diverse(left: DataFrame, most: int) -> DataFrame:
-    """WIN-12: of each request's (length, path) rows the shortest, then the next that shares under 0.7 with all kept, up to most, as alt."""
-    out = None
-    for alt in range(most):
-        best = kept(left.groupBy("request").agg(F.min(F.struct("length", "path")).alias("m")).select("request", "m.length", "m.path"))
-        part = best.withColumn("alt", F.lit(alt))
-        out = part if out is None else out.unionByName(part)
-        both = left.join(best.select("request", F.col("path").alias("b")), "request")
-        n = F.size(F.filter("path", lambda e: F.array_contains("b", e))) / F.greatest(F.size("path"), F.size("b"))
-        left = kept(both.filter(n < SHARED).drop("b"))
-    return out
+def leg_pairs(alts: DataFrame) -> DataFrame:
+    """JOIN-25: (request, source, length, steps): each alternative of the first leg with each of the second; alts has own, leg, source, length, steps."""
+    a = alts.filter("leg = 0").select(F.col("own").alias("request"), "source", F.col("steps").alias("p"), F.col("length").alias("x"))
+    b = alts.filter("leg = 1").select(F.col("own").alias("request"), F.col("steps").alias("q"), F.col("length").alias("y"))
+    return a.join(b, "request").select("request", "source", (F.col("x") + F.col("y")).alias("length"), F.concat("p", "q").alias("steps"))
+
+
+def diverse(found: DataFrame, most: int = MOST) -> DataFrame:
+    """WIN-12: of each request's (length, steps) rows the shortest, then the next that shares under 0.7 with all kept, up to most; alt numbers them.
+
+    A request has a bounded number of rows, as the routes through one place have (4 by 4).
+    """
+    row = F.struct(*(c for c in ("length", "steps", "source") if c in found.columns))
+    ordered = found.groupBy("request").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    return picked(ordered, most)
+
+
+def picked(ordered: DataFrame, most: int, limit: Column | None = None) -> DataFrame:
+    """(request, alt, ...) of the rows of the array all that are taken in turn: those that share under 0.7 with each one taken.  limit is the largest dup that a row may have after the first."""
+    item = ordered.schema["all"].dataType.simpleString()
+
+    def take(chosen: Column, x: Column) -> Column:
+        good = F.forall(chosen, lambda y: share(y["steps"], x["steps"]) < SHARED)
+        if limit is not None:
+            good = good & ((F.size(chosen) == 0) | (x["dup"] <= limit))
+        return F.when((F.size(chosen) < most) & good, F.concat(chosen, F.array(x))).otherwise(chosen)
+
+    chosen = ordered.select("request", F.aggregate("all", F.array().cast(item), take).alias("chosen"))
+    return chosen.select("request", F.posexplode("chosen").alias("alt", "x")).select("request", "alt", "x.*")
 
 
 def markers(route_points: DataFrame, every: float = 120.0) -> DataFrame:
