@@ -218,7 +218,7 @@ def through(requests: DataFrame, edges: DataFrame, most: int = MOST) -> DataFram
     legs = requests.select("request", F.lit(0).alias("leg"), "source", F.col("via").alias("target")).unionAll(requests.select("request", F.lit(1), F.col("via"), "target"))
     legs = landed(legs.withColumn("own", F.col("request")).withColumn("request", F.xxhash64("own", "leg")))
     alts = further(legs.select("request", "source", "target"), net).join(legs.select("request", "own", "leg"), "request")
-    return unpacked(diverse(leg_pairs(alts), most), chains)
+    return unpacked(few_diverse(leg_pairs(alts), most), chains)
 
 
 def leg_pairs(alts: DataFrame) -> DataFrame:
@@ -228,13 +228,22 @@ def leg_pairs(alts: DataFrame) -> DataFrame:
     return a.join(b, "request").select("request", "source", (F.col("x") + F.col("y")).alias("length"), F.concat("p", "q").alias("steps"))
 
 
-def diverse(found: DataFrame, most: int = MOST) -> DataFrame:
-    """WIN-12: of each request's (length, steps) rows the shortest, then the next that shares under 0.7 with all kept, up to most; alt numbers them.
+def diverse(left: DataFrame, most: int = MOST) -> DataFrame:
+    """WIN-12: of each request's (length, path) rows the shortest, then the next that shares under 0.7 with all kept, up to most, as alt."""
+    out = None
+    for alt in range(most):
+        best = landed(left.groupBy("request").agg(F.min(F.struct("length", "path")).alias("m")).select("request", "m.length", "m.path"))
+        part = best.withColumn("alt", F.lit(alt))
+        out = part if out is None else out.unionByName(part)
+        both = left.join(best.select("request", F.col("path").alias("b")), "request")
+        n = F.size(F.filter("path", lambda e: F.array_contains("b", e))) / F.greatest(F.size("path"), F.size("b"))
+        left = landed(both.filter(n < SHARED).drop("b"))
+    return out
 
-    A request has a bounded number of rows, as the routes through one place have (4 by 4).
-    """
-    row = F.struct(*(c for c in ("length", "steps", "source") if c in found.columns))
-    ordered = found.groupBy("request").agg(F.array_sort(F.collect_list(row)).alias("all"))
+
+def few_diverse(found: DataFrame, most: int = MOST) -> DataFrame:
+    """The same for (length, steps, source) rows of which a request has a bounded number, as the routes through one place (4 by 4): gone through in one group."""
+    ordered = found.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("length", "steps", "source"))).alias("all"))
     return picked(ordered, most)
 
 

@@ -6,14 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.geo import haversine
-from cairn.functions.session import kept
-from cairn.operators import graph, routes
+from cairn.functions.session import kept, landed
+from cairn.operators import graph, routes, via_routes
 from cairn.operators.lines import vertex_pairs
 from cairn.plans.basics import hav
 from cairn.plans.registry import VIEWS, query, table, view
 
 VIEWS["v_shifted_vertices"] = "SELECT osm_id, pos, CASE WHEN CAST(floor(osm_id / 200) AS BIGINT) % 2 = 1 THEN lng + 0.0003 ELSE lng END AS lng, lat FROM v_trail_vertices"
 
+#: A mesh of three by three crossings, with a vertex between two of them, for each supplier; some of the six lines lack.
+MESH_X, MESH_Y = "CASE WHEN line < 3 THEN pos ELSE 2 * (line - 3) END", "CASE WHEN line < 3 THEN 2 * line ELSE pos END"
+AT = "(900000 + (s_suppkey % 200) * 5000 + ({x}) * 150 + (s_suppkey * 31 + ({x}) * 17 + ({y}) * 29) % 40 + {off}) / 100000 AS lng, (4600000 + CAST(floor(s_suppkey / 200) AS BIGINT) * 5000 + ({y}) * 150 + (s_suppkey * 13 + ({x}) * 23 + ({y}) * 7) % 40 + {off}) / 100000 AS lat"
+FIVE = "(SELECT 0 AS {0} UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4{1})"
+VIEWS["v_mesh_vertices"] = f"""SELECT 6000000 + s_suppkey * 10 + line AS osm_id, pos, {AT.format(x=MESH_X, y=MESH_Y, off=0)}
+FROM supplier CROSS JOIN {FIVE.format('line', ' UNION ALL SELECT 5')} x CROSS JOIN {FIVE.format('pos', '')} y WHERE (s_suppkey + line) % 7 <> 0"""
+#: Places near crossings: 0 to begin at, 1 to end at, 2 and 3 to pass.
+VIEWS["v_mesh_places"] = f"""SELECT s_suppkey AS request, place, {AT.format(x='CASE WHEN place = 1 OR place = 2 THEN 4 ELSE 0 END', y='CASE WHEN place = 1 OR place = 3 THEN 4 ELSE 0 END', off=20)}
+FROM supplier CROSS JOIN (SELECT 0 AS place UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) p"""
+
 KEY = "CAST(floor({0} * 1e5 + 0.5) AS BIGINT) * 4294967296 + CAST(floor({1} * 1e5 + 0.5) AS BIGINT) + 2147483648"
 
 
@@ -126,7 +136,7 @@ def grf_15(spark, d):
 def grf_7(spark, d):
     nodes, edges = network(spark, d)
     ends = requests(nodes)
-    near = lambda c: graph.snap(ends.join(nodes, ends[c] == nodes["node"]).select(F.col("request").alias("point"), "lng", "lat"), nodes, 150.0, 3).select(F.col("point").alias("request"), "node")
+    near = lambda c: graph.snap(ends.join(nodes, ends[c] == nodes["node"]).select(F.col("request").alias("point"), "lng", "lat"), nodes, graph.SNAP_M, graph.SNAP_K).select(F.col("point").alias("request"), "node")
     return routes.best_snapped(near("source"), near("target"), kept(graph.simple_edges(edges))).select("request", "source", "target", F.round("length", 5).alias("length"))
 
 
@@ -156,6 +166,32 @@ def grf_10(spark, d):
     return routes.through(asked.select(F.col("id").cast("long").alias("request"), "source", "via", "target"), kept(graph.simple_edges(edges))).select("request", "alt", F.round("length", 5).alias("length"))
 
 
+def mesh_requests(spark, d, nodes: DataFrame, k: int) -> DataFrame:
+    """(request, source, candidates, target): the node nearest to each end, and the k nearest to each place to pass."""
+    places = view(spark, d, "v_mesh_places").select("request", "place", F.xxhash64("request", "place").alias("point"), F.col("lng").cast("double").alias("lng"), F.col("lat").cast("double").alias("lat"))
+    near = graph.snap(places, nodes, graph.SNAP_M, k).groupBy("request", "place").agg(F.array_sort(F.collect_list(F.struct("rank", "node")))["node"].alias("nodes"))
+    end = lambda n: F.max(F.when(F.col("place") == n, F.get("nodes", F.lit(0))))
+    vias = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") > 1, F.struct("place", "nodes")))), lambda x: x["nodes"])
+    return near.groupBy("request").agg(end(0).alias("source"), end(1).alias("target"), vias.alias("candidates")).filter("source is not null and target is not null")
+
+
+@query("GRF-11")
+def grf_11(spark, d):
+    """Routes through two places of each mesh, in any order."""
+    nodes, edges = network(spark, d, "v_mesh_vertices")
+    asked = mesh_requests(spark, d, nodes, 1).withColumn("vias", F.transform("candidates", lambda c: F.get(c, F.lit(0)))).drop("candidates")
+    found = via_routes.through_all(landed(asked), kept(graph.simple_edges(edges)), nodes)
+    return found.select("request", "alt", F.round("length", 3).alias("length"), F.round("dup", 9).alias("dup"), F.size("path").alias("steps"))
+
+
+@query("GRF-12")
+def grf_12(spark, d):
+    """The same with the two nearest nodes of each place to choose from."""
+    nodes, edges = network(spark, d, "v_mesh_vertices")
+    found = via_routes.through_best(landed(mesh_requests(spark, d, nodes, 2)), kept(graph.simple_edges(edges)), nodes)
+    return found.select("request", "alt", F.element_at("vias", 1).alias("via_1"), F.element_at("vias", 2).alias("via_2"), F.round("length", 3).alias("length"), F.round("dup", 9).alias("dup"))
+
+
 @query("GRF-13")
 def grf_13(spark, d):
     nodes, edges = network(spark, d)
