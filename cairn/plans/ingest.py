@@ -269,17 +269,12 @@ PROGRESS = "cp AS (SELECT event_id % 165 AS chunk, count(*) AS attempts, arg_max
 
 
 def chunk_progress(spark, d):
-    """STR-2's batch form: attempts, latest status and last error of each chunk."""
+    """Attempts, latest status and last error of each chunk."""
     e = table(spark, d, "events").withColumn("chunk", F.col("event_id") % 165)
     failed = F.col("event_type") == "error"
     return e.groupBy("chunk").agg(F.count("*").alias("attempts"), F.max_by(F.when(failed, "failed").otherwise("completed"), "event_id").alias("status"), F.max_by(F.when(failed, F.col("event_type")), F.when(failed, F.col("event_id"))).alias("last_error"))
 
 
-@query("STR-2", f"WITH {PROGRESS} SELECT * FROM cp")
-def str_2(spark, d):
-    return chunk_progress(spark, d)
-
-
 @query("AGG-5", f"WITH {PROGRESS} SELECT 200 AS total, count_if(status = 'completed')::BIGINT AS completed, count_if(status = 'failed')::BIGINT AS failed, greatest(200 - count(*), 0)::BIGINT AS pending FROM cp")
 def agg_5(spark, d):
     done = lambda s: F.count_if(F.col("status") == s)

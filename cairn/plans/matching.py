@@ -136,17 +136,6 @@ def win_11(spark, d):
     return ok.select(period.alias("period")).groupBy("period").agg(F.count("*").alias("calls"))
 
 
-@query("STR-4", f"SELECT cache_key, max(event_id) AS event_id FROM v_cache WHERE expires_at > {NOW} GROUP BY cache_key")
-def str_4(spark, d):
-    latest = view(spark, d, "v_cache").groupBy("cache_key").agg(F.max_by(F.struct("event_id", "expires_at"), "event_id").alias("r"))
-    return latest.filter(f"r.expires_at > {NOW}").select("cache_key", "r.event_id")
-
-
-@query("STR-5", "SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY min(event_id) DESC) AS r FROM events GROUP BY user_id) WHERE r <= 100")
-def str_5(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("first")).orderBy(F.desc("first")).limit(100).select("user_id")
-
-
 @query("AGG-13", "SELECT url, count(*) AS n FROM (SELECT unnest([user_id % 50, user_id % 20]) AS url FROM events) GROUP BY url")
 def agg_13(spark, d):
     urls = F.explode(F.array(F.col("user_id") % 50, F.col("user_id") % 20))

@@ -190,19 +190,6 @@ def test_gpx_drops_repeated_points(spark):
     assert out.count("<trkpt") == 2 and "A &amp; B" in out and 'lat="46.0000000"' in out
 
 
-def test_streams(spark, tmp_path):
-    from cairn.streaming.feeds import admitted_stream, upsert_stream
-
-    spark.createDataFrame([(1, "a", 1), (2, "b", 2), (1, "c", 3)], "osm_id long, name string, seq long").write.parquet(str(tmp_path / "in"))
-    upsert_stream(spark, str(tmp_path / "in"), "osm_id long, name string, seq long", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted((r.osm_id, r.name) for r in spark.read.parquet(str(tmp_path / "out/0")).collect()) == [(1, "c"), (2, "b")]
-    spark.range(7).selectExpr("'q' as quota", "id as event_id", "timestamp_seconds(id * 30000) as ts").coalesce(1).write.parquet(str(tmp_path / "calls"))
-    calls = spark.readStream.schema("quota string, event_id long, ts timestamp").parquet(str(tmp_path / "calls"))
-    q = admitted_stream(calls, 2, 5).writeStream.format("memory").queryName("passed").option("checkpointLocation", str(tmp_path / "cq")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(r.event_id for r in spark.table("passed").collect()) == [0, 1, 3, 4, 6]
-
-
 def test_rounds_give_the_whole_result_or_an_error(spark):
     """Too few rounds are an error, never a part of the nodes, components or routes."""
     from cairn.operators.components import connected_components
@@ -231,18 +218,6 @@ def test_posts_that_hold_the_whole_name(spark):
     assert {tuple(r) for r in match.relevant_posts(pois, posts).collect()} == {(1, 1), (2, 2), (3, 3)}
 
 
-def test_keyed_stream_over_three_batches(spark, tmp_path):
-    from cairn.streaming.feeds import current_table, upsert_stream
-
-    said = {}
-    for seq, rows in enumerate([{1: "a", 2: "b"}, {2: "c", 3: "d"}, {1: "e"}, {}]):
-        if rows:
-            spark.createDataFrame([(k, v, seq) for k, v in rows.items()], "osm_id long, name string, seq long").write.mode("append").parquet(f"{tmp_path}/in")
-        upsert_stream(spark, f"{tmp_path}/in", "osm_id long, name string, seq long", f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
-        said |= rows
-        assert {r.osm_id: r.name for r in current_table(spark, f"{tmp_path}/out").select("osm_id", "name").collect()} == said
-
-
 def test_chunks_cover_all_points(spark):
     from cairn.plans.searches import grid
 
