@@ -25,6 +25,13 @@ TASK_BYTES = 64 << 20
 NO_ID = 2**63 - 1
 
 
+def unused(name: str, docs: DataFrame) -> str:
+    """The name, made longer until no column of docs has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of the text column over all rows."""
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import tidied
+from cairn.llm.blocks import tidied, unused
 
 STEPS = 64
 HIDDEN = 8
@@ -187,13 +187,13 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7, epochs: int = EP
 
 
 def sample(labelled: DataFrame, per_label: int = SAMPLE) -> list:
-    """Up to per_label rows (text, label) of each label, by the hash of doc_id: the same at every call."""
+    """Up to per_label rows (text, label) of each label, by the hash of doc_id and text: the same at every call."""
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     million = 1_000_000
     share = F.lit(0)
     for label, n in counts.items():
         share = F.when(F.col("label") == label, F.lit(min(million, 2 * million * per_label // n + 1))).otherwise(share)
-    place = F.xxhash64(F.col("doc_id"), F.lit(11))
+    place = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(11))
     rows = labelled.filter(F.pmod(place, F.lit(million)) < share).select("label", "text", place.alias("place")).collect()
     taken: dict[str, int] = {}
     out = []
@@ -267,7 +267,8 @@ def accepted(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
                 rows = pa.RecordBatch.from_arrays(batch.columns[:-1], schema.names)
                 yield rows.filter(pa.array(stay, pa.bool_()))
 
-    return docs.select("*", has_letter().alias("letters")).mapInArrow(tidied(run), schema)
+    name = unused("letters", docs)
+    return docs.select("*", has_letter().alias(name)).mapInArrow(tidied(run), schema)
 
 
 def fold(folds: int, column: str = "doc_id") -> Column:

@@ -560,3 +560,28 @@ def test_pipeline_stages_keep_rows_of_one_id_apart(spark):
     found = {(r.doc_id, r["rest"]): (r.text, r.n_chars, r.block) for r in left.collect()}
     assert set(found) == {(5, "x"), (5, "y"), (None, "z"), (6, None)}
     assert found[5, "x"] == ("one " + long, 304, 9) and found[None, "z"][0] in ("three", "thre", "three ") and found[6, None] == ("", 0, 9)
+
+
+def test_a_label_of_one_id_is_not_lost(spark):
+    rows = [(1, f"the text {i}", "en") for i in range(2000)] + [(2, f"il testo {i}", "it") for i in range(2000)] + [(i, f"le texte {i}", "fr") for i in range(3, 400)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    found = Counter(r["label"] for r in langid.sample(labelled))
+    assert set(found) == {"en", "it", "fr"} and min(found.values()) > 200 and max(found.values()) <= langid.SAMPLE
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    """Names that the stages use for columns of their own."""
+    import corpus_pipeline
+
+    names = ["row", "letters", "kept", "spans", "n_bytes", "n_removed", "rest", "block", "node", "component", "place", "key", "s"]
+    rows = [(i, f"{i} " + " ".join(RNG.choice(WORDS) for _ in range(40)), *(f"{n}{i}" for n in names)) for i in range(30)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    spark.createDataFrame([(1, "an item that no document holds at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {r[0]: r[2:] for r in rows}
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", *names]
+        found = {r[0]: tuple(r)[2:] for r in docs.collect()}
+        assert found and all(want[i] == v for i, v in found.items())
+    labelled = docs.withColumn("lang", F.lit("en"))
+    assert langid.accepted(docs, langid.fit(labelled)).columns == docs.columns
