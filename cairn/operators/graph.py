@@ -28,7 +28,7 @@ def close_nodes(nodes: DataFrame) -> DataFrame:
     size = MERGE_UNITS * 1e-5
     a = nodes.select(F.col("node").alias("later"), "lng", "lat", F.col("seen").alias("s"))
     b = nodes.select(F.col("node").alias("earlier"), F.col("lng").alias("other_lng"), F.col("lat").alias("other_lat"), F.col("seen").alias("t"))
-    near = near_points(a, b, MERGE_M, size=size, reach=1)
+    near = near_points(a, b, MERGE_M, size=size)
     units = (F.abs(F.col("lng") - F.col("other_lng")) <= size + 1e-9) & (F.abs(F.col("lat") - F.col("other_lat")) <= size + 1e-9)
     return near.filter(units & (F.col("t") < F.col("s"))).select("later", "earlier", "dist")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.geo import cell, cell_id, haversine, point_in_box, point_in_rings, segment_meets_box
+from cairn.functions.geo import EARTH_M, cell, cell_id, haversine, point_in_box, point_in_rings, segment_meets_box
 from cairn.operators.lines import rings, vertex_pairs, with_cells
 
 BOX_CELL = 0.1
@@ -43,17 +45,34 @@ def points_in_areas(points: DataFrame, areas: DataFrame, key: list[str], size: f
     return keyed.join(dealt, "cell").filter(inside).drop("cell", "rings", "minx", "miny", "maxx", "maxy")
 
 
-def near_points(left: DataFrame, right: DataFrame, metres: float, size: float = SNAP_CELL, reach: int | None = None) -> DataFrame:
+def columns_of(band: Column, size: float) -> Column:
+    """Cells of a band of size degrees of latitude, none of which is narrower than the band is high."""
+    low = band * size - 90
+    far = F.least(F.greatest(F.abs(low), F.abs(low + size)), F.lit(90.0))
+    return F.greatest(F.floor(360 * F.cos(F.radians(far)) / size), F.lit(1)).cast("long")
+
+
+def near_points(left: DataFrame, right: DataFrame, metres: float, size: float = SNAP_CELL) -> DataFrame:
     """JOIN-8 without its limit: pairs within metres, as dist, of (lng, lat) and (other_lng, other_lat).
 
-    A left point asks all cells within reach, which is enough for the distance as far as 60
-    degrees north.
+    The globe is cut into bands of size degrees, and each band into cells that widen with the
+    latitude and close at 180 degrees; so a left point asks about as many cells everywhere, next
+    to a pole all of the few that a band has there.  Each right point is in one cell.  A null
+    coordinate is near nothing.
     """
-    reach = reach if reach is not None else int(metres / (111_000 * size * 0.5)) + 1
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    asked = left.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    asked = asked.withColumn("cell", cell_id(cell("lng", size) + F.col("dx"), cell("lat", size) + F.col("dy"))).drop("dx", "dy")
-    held = right.withColumn("cell", cell_id(cell("other_lng", size), cell("other_lat", size)))
+    lng, lat = F.pmod(F.col("lng").cast("double") + 180, F.lit(360.0)), F.col("lat").cast("double")
+    up = metres / EARTH_M * 180 / math.pi + 1e-9
+    bands = F.sequence(F.greatest(F.floor((lat + 90 - up) / size), F.lit(0)), F.greatest(F.floor((lat + 90 + up) / size), F.lit(0)))
+    asked = left.filter("lng is not null and lat is not null").withColumn("band", F.explode(bands)).withColumn("n", columns_of(F.col("band"), size))
+    # The widest difference in longitude of two points at this distance, both as far from the equator as the one may be.
+    top = F.sin(F.lit(metres / (2 * EARTH_M))) / F.cos(F.radians(F.least(F.abs(lat) + up, F.lit(90.0))))
+    wide = F.when((F.abs(lat) + up >= 90) | (top >= 1), F.lit(180.0)).otherwise(2 * F.degrees(F.asin(F.least(top, F.lit(1.0)))) + 1e-9)
+    first, last = F.floor((lng - wide) * F.col("n") / 360), F.floor((lng + wide) * F.col("n") / 360)
+    asked = asked.withColumn("at", F.explode(F.sequence(first, F.least(last, first + F.col("n") - 1))))
+    asked = asked.withColumn("cell", cell_id(F.col("band"), F.pmod(F.col("at"), F.col("n")))).drop("band", "n", "at")
+    other = F.pmod(F.col("other_lng").cast("double") + 180, F.lit(360.0))
+    held = right.withColumn("band", F.greatest(F.floor((F.col("other_lat").cast("double") + 90) / size), F.lit(0))).withColumn("n", columns_of(F.col("band"), size))
+    held = held.withColumn("cell", cell_id(F.col("band"), F.pmod(F.floor(other * F.col("n") / 360), F.col("n")))).drop("band", "n")
     dist = haversine("lng", "lat", "other_lng", "other_lat")
     return asked.join(held, "cell").drop("cell").withColumn("dist", dist).filter(F.col("dist") <= metres)
 

@@ -22,7 +22,7 @@ FROM customer JOIN part ON p_partkey = c_custkey""",
     "v_trails_attr": """SELECT 2000000 + o_orderkey AS osm_id,
   CASE o_orderkey % 10 WHEN 0 THEN concat('Ferrata ', p_name) WHEN 1 THEN concat('Sentiero ', p_name) WHEN 2 THEN '' ELSE concat('Via ', p_name) END AS name,
   CASE o_orderkey % 8 WHEN 0 THEN 'hiking' WHEN 1 THEN 'mountain_hiking' WHEN 2 THEN 'demanding_mountain_hiking' WHEN 3 THEN 'alpine_hiking' WHEN 4 THEN 'demanding_alpine_hiking' WHEN 5 THEN 'difficult_alpine_hiking' WHEN 6 THEN 'track' ELSE 'unknown' END AS sac_scale
-FROM orders JOIN part ON p_partkey = o_orderkey % 200""",
+FROM orders CROSS JOIN (SELECT count(*) AS parts FROM part) n JOIN part ON p_partkey = o_orderkey % parts""",
     "v_trail_vertices": """SELECT 2000000 + l_orderkey AS osm_id, pos,
   (9000 + (l_orderkey * 31) % 200 + pos) / 1000 AS lng, (46000 + (l_orderkey * 17) % 100 + CAST(floor(pos / 2) AS BIGINT)) / 1000 AS lat
 FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS pos FROM lineitem) t""",

@@ -24,6 +24,11 @@ FROM supplier CROSS JOIN {FIVE.format('line', ' UNION ALL SELECT 5')} x CROSS JO
 VIEWS["v_mesh_places"] = f"""SELECT s_suppkey AS request, place, {AT.format(x='CASE WHEN place = 1 OR place = 2 THEN 4 ELSE 0 END', y='CASE WHEN place = 1 OR place = 3 THEN 4 ELSE 0 END', off=20)}
 FROM supplier CROSS JOIN (SELECT 0 AS place UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) p"""
 
+#: Trips over the meshes, of six kinds in turn: as it should be (0 and 5), begun 400 m off (1), begun or ended 1500 m off (2 and 3), and ended in the next mesh (4).
+VIEWS["v_mesh_trips"] = """SELECT a.request AS request_id, a.lng - CASE a.request % 6 WHEN 1 THEN 0.0052 WHEN 2 THEN 0.02 ELSE 0 END AS from_lng, a.lat AS from_lat,
+  CASE WHEN b.request % 6 = 4 AND c.lng IS NOT NULL THEN c.lng WHEN b.request % 6 = 3 THEN b.lng + 0.02 ELSE b.lng END AS to_lng, CASE WHEN b.request % 6 = 4 AND c.lng IS NOT NULL THEN c.lat ELSE b.lat END AS to_lat
+FROM v_mesh_places a JOIN v_mesh_places b ON b.request = a.request AND a.place = 0 AND b.place = 1 LEFT JOIN v_mesh_places c ON c.request = a.request + 1 AND c.place = 1"""
+
 KEY = "CAST(floor({0} * 1e5 + 0.5) AS BIGINT) * 4294967296 + CAST(floor({1} * 1e5 + 0.5) AS BIGINT) + 2147483648"
 
 
@@ -96,8 +101,8 @@ def join_11(spark, d):
     return b.select("ca", "cb", F.round("weight", 5).alias("weight"))
 
 
-def snapped(spark, d, nodes, k: int = graph.SNAP_K):
-    r = view(spark, d, "v_route_requests")
+def snapped(spark, d, nodes, k: int = graph.SNAP_K, trips: str = "v_route_requests"):
+    r = view(spark, d, trips)
     one = lambda a, b: graph.snap(r.select(F.col("request_id").alias("point"), F.col(a).cast("double").alias("lng"), F.col(b).cast("double").alias("lat")), nodes, 500.0, k)
     return one("from_lng", "from_lat"), one("to_lng", "to_lat")
 
@@ -140,16 +145,29 @@ def grf_7(spark, d):
     return routes.best_snapped(near("source"), near("target"), kept(graph.simple_edges(edges))).select("request", "source", "target", F.round("length", 5).alias("length"))
 
 
-@query("GRF-8")
-def grf_8(spark, d):
-    """Requests without a path at 300 m, asked again at 500 m among components of some size."""
-    nodes, edges = network(spark, d)
+def trips(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trips over the meshes: where they may start and end within 500 m, and their routes: those at 300 m, and for the others at 500 m among components of some size."""
+    nodes, edges = network(spark, d, "v_mesh_vertices")
     one = kept(graph.simple_edges(edges))
-    s, t = (x.select(F.col("point").alias("request"), "node", "dist") for x in snapped(spark, d, nodes))
-    first = routes.best_snapped(s.filter("dist <= 300"), t.filter("dist <= 300"), one)
+    s, t = (landed(x.select(F.col("point").alias("request"), "node", "dist")) for x in snapped(spark, d, nodes, trips="v_mesh_trips"))
+    near = f"dist <= {graph.SNAP_M}"
+    first = landed(routes.best_snapped(s.filter(near), t.filter(near), one).withColumn("retried", F.lit(False)))
     large = nodes.join(F.broadcast(graph.least_component(nodes)), F.col("size") >= F.col("least")).select("node")
-    again = lambda x: x.join(first, "request", "left_anti").join(large, "node", "left_semi")
-    return first.unionByName(routes.best_snapped(again(s), again(t), one)).select("request", F.round("length", 5).alias("length"))
+    again = lambda x: landed(x.join(first, "request", "left_anti").join(large, "node", "left_semi"))
+    return s, t, first.unionByName(routes.best_snapped(again(s), again(t), one).withColumn("retried", F.lit(True)))
+
+
+TRIPS = f"""WITH RECURSIVE {network_sql('v_mesh_vertices')},
+near AS (SELECT request_id, side, node, row_number() OVER (PARTITION BY request_id, side ORDER BY dist, node) AS r, dist FROM (SELECT request_id, side, node, {hav('x', 'y', 'lng', 'lat')} AS dist
+  FROM (SELECT request_id, 's' AS side, from_lng AS x, from_lat AS y FROM v_mesh_trips UNION ALL SELECT request_id, 't', to_lng, to_lat FROM v_mesh_trips) p JOIN nd ON abs(x - lng) < 0.01 AND abs(y - lat) < 0.01) q WHERE dist <= 500),
+hits AS (SELECT request_id, side, near.node, component, dist FROM near JOIN cp ON cp.node = near.node WHERE r <= 6),
+linked AS (SELECT s.request_id, bool_or(s.dist <= 300 AND t.dist <= 300) AS early FROM hits s JOIN hits t ON s.request_id = t.request_id AND s.side = 's' AND t.side = 't' AND s.component = t.component AND s.node <> t.node GROUP BY s.request_id)"""
+
+
+@query("GRF-8", f"{TRIPS} SELECT request_id AS request, NOT early AS retried FROM linked")
+def grf_8(spark, d):
+    """Which trips have a route, and which of them only when asked again."""
+    return trips(spark, d)[2].select("request", "retried")
 
 
 @query("GRF-9")
@@ -198,12 +216,11 @@ def grf_13(spark, d):
     return routes.round_trip(requests(nodes), kept(graph.simple_edges(edges))).select("request", F.round("out_length", 5).alias("out_length"), F.round("back_length", 5).alias("back_length"), "only_one_path")
 
 
-@query("GRF-14")
+@query("GRF-14", f"""{TRIPS} SELECT v.request_id AS request, CASE WHEN NOT EXISTS (SELECT 1 FROM hits h WHERE h.request_id = v.request_id AND side = 's') THEN 'no-start' WHEN NOT EXISTS (SELECT 1 FROM hits h WHERE h.request_id = v.request_id AND side = 't') THEN 'no-end'
+WHEN l.request_id IS NULL THEN 'no-route' ELSE 'ok' END AS status FROM v_mesh_trips v LEFT JOIN linked l ON l.request_id = v.request_id""")
 def grf_14(spark, d):
-    nodes, edges = network(spark, d)
-    s, t = (x.select(F.col("point").alias("request"), "node") for x in snapped(spark, d, nodes))
-    found = routes.best_snapped(s, t, kept(graph.simple_edges(edges)))
-    return routes.outcomes(view(spark, d, "v_route_requests").select(F.col("request_id").alias("request")), s, t, found)
+    s, t, found = trips(spark, d)
+    return routes.outcomes(view(spark, d, "v_mesh_trips").select(F.col("request_id").alias("request")), s, t, found)
 
 
 @query("GRF-16", "SELECT osm_id, pos, CASE WHEN osm_id % 2 = 1 THEN bx ELSE ax END AS x0, CASE WHEN osm_id % 2 = 1 THEN ax ELSE bx END AS x1 FROM v_segments")
@@ -264,17 +281,23 @@ VIA = "vc AS (SELECT s_nationkey AS request, s_suppkey AS node, row_number() OVE
 
 @query("JOIN-24", f"WITH {VIA} SELECT a.request, a.node AS v1, b.node AS v2 FROM vc a JOIN vc b ON a.request = b.request WHERE a.c <= 4 AND b.c <= 4")
 def join_24(spark, d):
-    c = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    v = table(spark, d, "supplier").select(F.col("s_nationkey").alias("request"), F.col("s_suppkey").alias("node"), c.alias("c")).filter("c <= 4").drop("c")
-    return v.withColumnRenamed("node", "v1").join(v.withColumnRenamed("node", "v2"), "request")
+    """Two places of each nation, each with its first four suppliers as candidates."""
+    held = four_suppliers(spark, d).groupBy("request").agg(F.array_sort(F.collect_list(F.struct("c", "node")))["node"].alias("own"))
+    asked = held.select("request", F.lit(-1).cast("long").alias("source"), F.array("own", "own").alias("candidates"), F.lit(-2).cast("long").alias("target"))
+    return via_routes.choices(asked).select("request", F.col("vias")[0].alias("v1"), F.col("vias")[1].alias("v2"))
+
+
+def four_suppliers(spark, d) -> DataFrame:
+    c = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).cast("long")
+    return table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("request"), F.col("s_suppkey").cast("long").alias("node"), c.alias("c")).filter("c <= 4")
 
 
 @query("JOIN-25", f"WITH {VIA} SELECT a.request, a.node AS leg1, b.node AS leg2, a.c + b.c AS weight FROM vc a JOIN vc b ON a.request = b.request WHERE a.c <= 4 AND b.c <= 4")
 def join_25(spark, d):
-    c = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).cast("long")
-    v = table(spark, d, "supplier").select(F.col("s_nationkey").alias("request"), F.col("s_suppkey").alias("node"), c.alias("c")).filter("c <= 4")
-    a, b = v.toDF("request", "leg1", "x"), v.toDF("request", "leg2", "y")
-    return a.join(b, "request").select("request", "leg1", "leg2", (F.col("x") + F.col("y")).alias("weight"))
+    """Routes of one edge to each of a nation's first four suppliers, and on to each of them."""
+    step = F.array(F.struct(F.col("node").alias("edge"), F.lit(1).cast("long").alias("n"), "node"))
+    alts = four_suppliers(spark, d).select(F.col("request").alias("own"), F.explode(F.array(F.lit(0), F.lit(1))).alias("leg"), F.lit(-1).cast("long").alias("source"), F.col("c").cast("double").alias("length"), step.alias("steps"))
+    return routes.leg_pairs(alts).select("request", F.col("steps")[0]["edge"].alias("leg1"), F.col("steps")[1]["edge"].alias("leg2"), F.col("length").cast("long").alias("weight"))
 
 
 @query("WIN-12")
