@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.geo import EARTH_M, cell, cell_id, haversine, point_in_box, point_in_rings, segment_meets_box
-from cairn.operators.lines import rings, vertex_pairs, with_cells
+from cairn.functions.geo import EARTH_M, cell, cell_id, haversine, line_meets_rings, point_in_box, point_in_rings, segment_meets_box
+from cairn.operators.lines import lines, rings, vertex_pairs, with_cells
 
 BOX_CELL = 0.1
 SNAP_CELL = 0.01
@@ -45,6 +45,19 @@ def points_in_areas(points: DataFrame, areas: DataFrame, key: list[str], size: f
     return keyed.join(dealt, "cell").filter(inside).drop("cell", "rings", "minx", "miny", "maxx", "maxy")
 
 
+def lines_in_areas(vertices: DataFrame, key: str, areas: DataFrame, area_key: str, size: float = BOX_CELL, tasks: int = 64) -> DataFrame:
+    """(key, area_key) of the lines that meet an area: those that meet its box, met by cells, then by the exact test.
+
+    The lines of one area are dealt over so many parts, to each of which its rings go.
+    """
+    box = areas.groupBy(area_key).agg(F.min("lng").alias("minx"), F.min("lat").alias("miny"), F.max("lng").alias("maxx"), F.max("lat").alias("maxy"))
+    # A line of one vertex has no segment.
+    near = lines_in_boxes(vertices, key, box, area_key, size).unionByName(points_in_boxes(vertices, box, size).select(key, area_key)).distinct()
+    shaped = lines(vertices, key).join(near, key).withColumn("part", F.pmod(F.xxhash64(key), F.lit(tasks)))
+    ringed = rings(areas, [area_key]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
+    return shaped.join(ringed, [area_key, "part"]).filter(line_meets_rings("line", F.col("rings"))).select(key, area_key)
+
+
 def columns_of(band: Column, size: float) -> Column:
     """Cells of a band of size degrees of latitude, none of which is narrower than the band is high."""
     low = band * size - 90

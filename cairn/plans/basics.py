@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import geo, text
-from cairn.operators.lines import boxes, centroids, length_km, lines, rings, vertex_pairs
+from cairn.operators.lines import boxes, centroids, length_km, lines, vertex_pairs
+from cairn.operators.spatial import points_in_areas
 from cairn.plans.registry import query, table, view
 
 HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians({b}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2))))"
@@ -237,9 +238,8 @@ GROUP BY p.id, a.area_id HAVING count_if((ay > p.lat) <> (by_ > p.lat) AND p.lng
 
 @query("FLT-6", f"SELECT id FROM ({IN_AREA}) i JOIN (SELECT DISTINCT area_id, name FROM v_admin_vertices) a USING (area_id) WHERE name = 'NATION_7'")
 def flt_6(spark, d):
-    area = rings(view(spark, d, "v_admin_vertices").filter("name = 'NATION_7'"), ["name"])
-    p = view(spark, d, "v_pois").drop("name").withColumn("name", F.lit("NATION_7"))
-    return p.join(area, "name").filter(geo.point_in_rings("lng", "lat", F.col("rings"))).select("id")
+    area = view(spark, d, "v_admin_vertices").filter("name = 'NATION_7'")
+    return points_in_areas(view(spark, d, "v_pois").drop("name"), area, ["name"]).select("id")
 
 
 @query("FLT-8", "SELECT id, type FROM v_pois WHERE type IN ('hut', 'bivouac')")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cairn.functions import geo
 from cairn.operators import search
-from cairn.operators.lines import lines, rings, vertex_pairs
-from cairn.operators.spatial import lines_in_boxes, near_points, nearest, points_in_areas, points_in_boxes
+from cairn.operators.lines import vertex_pairs
+from cairn.operators.spatial import lines_in_areas, lines_in_boxes, near_points, nearest, points_in_areas, points_in_boxes
 from cairn.plans.basics import IN_AREA, hav, meets
 from cairn.plans.ingest import PROGRESS, chunk_progress
 from cairn.plans.registry import query, table, view
@@ -215,9 +214,7 @@ crossing AS (SELECT DISTINCT osm_id FROM v_segments JOIN edges ON dx IS NOT NULL
 inner_ AS (SELECT osm_id FROM v_trail_vertices JOIN edges ON dx IS NOT NULL GROUP BY osm_id, pos HAVING count_if((cy > lat) <> (dy > lat) AND lng < (dx - cx) * (lat - cy) / (dy - cy) + cx) % 2 = 1)
 SELECT osm_id FROM crossing UNION SELECT osm_id FROM inner_""")
 def flt_7(spark, d):
-    area = rings(view(spark, d, "v_admin_vertices").filter("name = 'NATION_12'"), ["name"])
-    one = lines(view(spark, d, "v_trail_vertices"), "osm_id").withColumn("name", F.lit("NATION_12"))
-    return one.join(area, "name").filter(geo.line_meets_rings("line", F.col("rings"))).select("osm_id")
+    return lines_in_areas(view(spark, d, "v_trail_vertices"), "osm_id", view(spark, d, "v_admin_vertices").filter("name = 'NATION_12'"), "name").select("osm_id")
 
 
 #: Steps are doubles, as in Spark.
