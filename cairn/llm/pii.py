@@ -10,7 +10,6 @@ is written otherwise.
 from __future__ import annotations
 
 import re
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
