@@ -142,39 +142,44 @@ def cached_stream(spark: SparkSession, seen: DataFrame, target: str, checkpoint:
     return each_batch(seen.withColumn("one", F.lit(0)), checkpoint, lambda batch, n: table.change(batch, n, merge)), table
 
 
-class Expiring(StatefulProcessor):
-    """STR-4's state of a key: its latest record, until event time passes its end (in milliseconds)."""
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.latest = handle.getValueState("latest", "seq long, value string, ends long")
-
-    @staticmethod
-    def row(key, record, change: str) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "seq": [record[0]], "value": [record[1]], "ends": [record[2]], "change": [change]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("seq").iloc[-1]
-        new = int(new["seq"]), new["value"], int(new["ends"])
-        old = self.latest.get() if self.latest.exists() else None
-        if old is not None and old[0] >= new[0]:
-            return
-        if old is not None:
-            self.handle.deleteTimer(old[2])
-            if old[2] <= timerValues.getCurrentWatermarkInMs():  # its timer would come after this
+def expiring() -> StatefulProcessor:
+    """STR-4's state; the class is made here so that it goes to the workers as a whole, and not by the name of this module."""
+
+    class Expiring(StatefulProcessor):
+        """STR-4's state of a key: its latest record, until event time passes its end (in milliseconds)."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.latest = handle.getValueState("latest", "seq long, value string, ends long")
+
+        @staticmethod
+        def row(key, record, change: str) -> pd.DataFrame:
+            return pd.DataFrame({"key": [key[0]], "seq": [record[0]], "value": [record[1]], "ends": [record[2]], "change": [change]})
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            new = pd.concat(list(rows)).sort_values("seq").iloc[-1]
+            new = int(new["seq"]), new["value"], int(new["ends"])
+            old = self.latest.get() if self.latest.exists() else None
+            if old is not None and old[0] >= new[0]:
+                return
+            if old is not None:
+                self.handle.deleteTimer(old[2])
+                if old[2] <= timerValues.getCurrentWatermarkInMs():  # its timer would come after this
+                    yield self.row(key, old, "expired")
+            self.latest.update(new)
+            self.handle.registerTimer(new[2])
+            yield self.row(key, new, "set")
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.latest.exists():
+                old = self.latest.get()
+                self.latest.clear()
                 yield self.row(key, old, "expired")
-        self.latest.update(new)
-        self.handle.registerTimer(new[2])
-        yield self.row(key, new, "set")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.latest.exists():
-            old = self.latest.get()
-            self.latest.clear()
-            yield self.row(key, old, "expired")
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return Expiring()
 
 
 def expiring_stream(records: DataFrame, late: str = "0 seconds") -> DataFrame:
@@ -185,7 +190,7 @@ def expiring_stream(records: DataFrame, late: str = "0 seconds") -> DataFrame:
     store has to be ROCKS.
     """
     each = records.withWatermark("ts", late).withColumn("ends", F.unix_millis("expires"))
-    changes = each.groupBy("key").transformWithStateInPandas(Expiring(), "key long, seq long, value string, ends long, change string", "Update", "EventTime")
+    changes = each.groupBy("key").transformWithStateInPandas(expiring(), "key long, seq long, value string, ends long, change string", "Update", "EventTime")
     return changes.select("key", "seq", "value", F.timestamp_millis("ends").alias("expires"), "change")
 
 
