@@ -39,9 +39,8 @@ def kept(df: DataFrame) -> DataFrame:
 def landed(df: DataFrame) -> DataFrame:
     """df written to the shared folder as Parquet and read again: without its lineage, and with its true size.
 
-    A checkpoint keeps the size that the planner estimates.  A join's estimate is the product of
-    its sides, so over rounds of joins the estimates themselves grow until planning takes longer
-    than the work; here they begin anew.
+    A checkpoint keeps the size that the planner estimates, and a join's estimate is the product
+    of its sides'; so over many rounds of joins the estimates grow, which here begin anew.
     """
     path = f"{shared_folder(df.sparkSession)}/landed-{uuid4().hex}"
     df.write.parquet(path)
