@@ -585,3 +585,26 @@ def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
         assert found and all(want[i] == v for i, v in found.items())
     labelled = docs.withColumn("lang", F.lit("en"))
     assert langid.accepted(docs, langid.fit(labelled)).columns == docs.columns
+
+
+def test_fine_sketches_keep_pairs_at_the_limit_and_refuse_lesser_ones():
+    from cairn.llm import near_copies
+
+    own = np.random.default_rng(31)
+
+    def far(a, b):
+        words = len(a) // near_copies.FINE
+        bits = (a ^ b).view(np.uint64)
+        return int(np.bitwise_count(bits[:words] | bits[words:]).sum())
+
+    for size in (9, 45, 400, 3000):
+        most = near_copies.allowed(size, 0.8)
+        for similar in (0.8, 0.6):
+            both = round(2 * size * similar / (1 + similar))
+            over = 0
+            for _ in range(200):
+                members = own.permutation(own.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64))
+                a, b = np.sort(members[:size]), np.sort(np.concatenate((members[:both], members[size:])))
+                over += far(near_copies.fine_sketch(a), near_copies.fine_sketch(b)) > most
+            assert over <= 1 if similar == 0.8 else over >= (198 if size > 9 else 0)
+    assert not near_copies.fine_sketch(np.empty(0, np.uint64)).any()
