@@ -67,3 +67,10 @@ def test_entry(spark):
 def test_each_supplier_is_a_route_request(spark):
     base = "/root/testdata/sf0.01"
     assert view(spark, base, "v_route_requests").count() == spark.read.parquet(f"{base}/supplier.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["FLT-13", "SET-1", "AGG-1", "SET-2", "WIN-9"])
+def test_trails_meet_parts_by_key(spark, name):
+    """No plan holds each order against each part."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not any("Join" in line and ", ferrata)" in line and "p_partkey" not in line for line in plan.splitlines())
