@@ -65,13 +65,12 @@ def columns_of(band: Column, size: float) -> Column:
     return F.greatest(F.floor(360 * F.cos(F.radians(far)) / size), F.lit(1)).cast("long")
 
 
-def near_points(left: DataFrame, right: DataFrame, metres: float, size: float = SNAP_CELL) -> DataFrame:
-    """JOIN-8 without its limit: pairs within metres, as dist, of (lng, lat) and (other_lng, other_lat).
+def asking_cells(left: DataFrame, metres: float, size: float = SNAP_CELL) -> DataFrame:
+    """left's rows with each cell in which a point within metres of their (lng, lat) may be.
 
     The globe is cut into bands of size degrees, and each band into cells that widen with the
-    latitude and close at 180 degrees; so a left point asks about as many cells everywhere, next
-    to a pole all of the few that a band has there.  Each right point is in one cell.  A null
-    coordinate is near nothing.
+    latitude and close at 180 degrees; so a point asks about as many cells everywhere, next
+    to a pole all of the few that a band has there.  A null coordinate is near nothing.
     """
     lng, lat = F.pmod(F.col("lng").cast("double") + 180, F.lit(360.0)), F.col("lat").cast("double")
     up = metres / EARTH_M * 180 / math.pi + 1e-9
@@ -82,12 +81,21 @@ def near_points(left: DataFrame, right: DataFrame, metres: float, size: float =
     wide = F.when((F.abs(lat) + up >= 90) | (top >= 1), F.lit(180.0)).otherwise(2 * F.degrees(F.asin(F.least(top, F.lit(1.0)))) + 1e-9)
     first, last = F.floor((lng - wide) * F.col("n") / 360), F.floor((lng + wide) * F.col("n") / 360)
     asked = asked.withColumn("at", F.explode(F.sequence(first, F.least(last, first + F.col("n") - 1))))
-    asked = asked.withColumn("cell", cell_id(F.col("band"), F.pmod(F.col("at"), F.col("n")))).drop("band", "n", "at")
+    return asked.withColumn("cell", cell_id(F.col("band"), F.pmod(F.col("at"), F.col("n")))).drop("band", "n", "at")
+
+
+def holding_cells(right: DataFrame, size: float = SNAP_CELL) -> DataFrame:
+    """right's rows with the one cell that their (other_lng, other_lat) is in."""
     other = F.pmod(F.col("other_lng").cast("double") + 180, F.lit(360.0))
     held = right.withColumn("band", F.greatest(F.floor((F.col("other_lat").cast("double") + 90) / size), F.lit(0))).withColumn("n", columns_of(F.col("band"), size))
-    held = held.withColumn("cell", cell_id(F.col("band"), F.pmod(F.floor(other * F.col("n") / 360), F.col("n")))).drop("band", "n")
+    return held.withColumn("cell", cell_id(F.col("band"), F.pmod(F.floor(other * F.col("n") / 360), F.col("n")))).drop("band", "n")
+
+
+def near_points(left: DataFrame, right: DataFrame, metres: float, size: float = SNAP_CELL, *same: str) -> DataFrame:
+    """JOIN-8 without its limit: pairs within metres, as dist, of (lng, lat) and (other_lng, other_lat), alike in the columns same."""
     dist = haversine("lng", "lat", "other_lng", "other_lat")
-    return asked.join(held, "cell").drop("cell").withColumn("dist", dist).filter(F.col("dist") <= metres)
+    met = asking_cells(left, metres, size).join(holding_cells(right, size), ["cell", *same])
+    return met.drop("cell").withColumn("dist", dist).filter(F.col("dist") <= metres)
 
 
 def nearest(pairs: DataFrame, key: str, k: int, *ties) -> DataFrame:

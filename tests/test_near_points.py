@@ -40,3 +40,41 @@ def test_snapping_across_the_date_line(spark):
     nodes = spark.createDataFrame([(1, -179.9995, 70.0), (2, 179.998, 70.0), (3, 179.0, 70.0)], "node long, lng double, lat double")
     points = spark.createDataFrame([(7, 179.9999, 70.0)], "point long, lng double, lat double")
     assert [(r.node, r["rank"]) for r in snap(points, nodes).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_first_near_of_lists_and_of_all_rows(spark):
+    """The least rows of a key within reach, whether a cell's short list proves them or not."""
+    from cairn.operators.match import first_near
+
+    at = lambda: (9.0 + RNG.randrange(40) / 500, 46.0 + RNG.randrange(40) / 500)
+    held = [(*at(), "ab"[n % 2], n) for n in range(400)]
+    asked = [(*at(), "abc"[n % 3]) for n in range(60)]
+    found = first_near(spark.createDataFrame(asked, "lng double, lat double, key string").distinct(), spark.createDataFrame(held, "other_lng double, other_lat double, key string, h long"), 2000, 3, 0.05, listed=8)
+    got = {(r["lng"], r["lat"], r["key"]): r["first"] for r in found.collect() if r["first"]}
+    want = {}
+    for x, y, key in asked:
+        near = sorted(h for a, b, k, h in held if k == key and metres((x, y), (a, b)) <= 2000)[:3]
+        if near:
+            want[x, y, key] = near
+    assert got == want and any(len(v) == 3 for v in want.values())
+
+
+def test_fallback_among_more_than_a_list(spark):
+    """One place with a hundred highlights: those that share a word come first, the POI's own one is left out, and only the first six count."""
+    from cairn.operators import match
+
+    titles = [(n, "Rifugio Alto" if n in (40, 70, 90) else "Nulla", n % 4, 9.0, 46.0) for n in range(100)]
+    lights = spark.createDataFrame(titles, "highlight_id long, title string, seq long, other_lng double, other_lat double")
+    pois = spark.createDataFrame([(1, "Rifugio Basso", 9.0, 46.0), (2, None, 9.0, 46.0), (3, "Rifugio Alto", 9.0, 46.01)], "id long, name string, lng double, lat double")
+    own = spark.createDataFrame([(1, 40)], "id long, highlight_id long")
+    order = lambda shares: [h for _, _, h in sorted((0 if shares and t != "Nulla" else 1, s, h) for h, t, s, _, _ in titles)]
+    for tours in (range(100), [90], [4], [20], [99]):
+        want = {}
+        for i, shares, mine in ((1, True, 40), (2, False, None), (3, True, None)):
+            first = [h for h in [h for h in order(shares) if h != mine][:6] if h in set(tours)]
+            if first:
+                want[i] = first[0]
+        found = match.fallback_highlight(pois, lights, own, lights.filter(lights["highlight_id"].isin(list(tours))))
+        assert {r["id"]: r["highlight_id"] for r in found.collect()} == want
+    best = {r["id"]: (r["highlight_id"], r["tier"]) for r in match.highlight_match(pois, lights).collect()}
+    assert best == {3: (40, 2)}
