@@ -70,17 +70,29 @@ def unpacked(routes: DataFrame, chains: DataFrame | None) -> DataFrame:
 def search(requests: DataFrame, net: DataFrame, penalties: DataFrame | None = None, max_rounds: int | None = None, every: int = 4) -> DataFrame:
     """(request, source, cost, length, steps) of the cheapest path of each (request, source, target) over a network.
 
+    source = target gives no route.  See spread().
+    """
+    asked = landed(requests.filter("source <> target").select("request", "source", "target"))
+    return spread(asked.select("request", "source"), asked.select("request", F.col("target").alias("node")), net, penalties, max_rounds, every).drop("target")
+
+
+def spread(starts: DataFrame, goals: DataFrame, net: DataFrame, penalties: DataFrame | None = None, max_rounds: int | None = None, every: int = 4) -> DataFrame:
+    """(request, source, target, cost, length, steps): the cheapest path of each request from any of its starts (request, source) to its goals (request, node).
+
+    Of several goals the one that costs least is right, and what another one has may be no path
+    of least cost.  No node is a start and a goal of one request; rows do not repeat.
+
     penalties (request, edge, factor) multiplies weights (JOIN-23); length is without them.  Each
     round relaxes the edges of the nodes improved in the last one; nodes that already cost more
-    than a found target are left.  Equal costs go to the shorter, then to the smaller path.
-    source = target gives no route.
+    than a found goal are left.  Equal costs go to the shorter path, then to the smaller source,
+    then to the smaller path.
 
     A node carries the last steps of its path, CARRIED at most, and the node that they begin at;
     so a row's size is bounded, and a longest path takes a join for each CARRIED steps at the end.
     """
-    asked = landed(requests.filter("source <> target").select("request", "source", "target"))
+    goals = goals.withColumn("goal", F.lit(True))
     penalties = None if penalties is None else landed(penalties)
-    state = asked.select("request", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("length"), F.lit(None).cast("long").alias("base"), F.array().cast(STEPS).alias("tail"), F.lit(True).alias("fresh"))
+    state = starts.select("request", "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("length"), F.lit(None).cast("long").alias("base"), F.array().cast(STEPS).alias("tail"), F.lit(True).alias("fresh"))
     columns, turns = state.columns, Turns(state.sparkSession)
     for n in rounds(max_rounds):
         # Each row stays, and a fresh one goes on over its edges too: the state is read once a round.
@@ -92,21 +104,21 @@ def search(requests: DataFrame, net: DataFrame, penalties: DataFrame | None = No
         full = (F.size("tail") == CARRIED) | F.col("base").isNull()
         one = F.array(F.struct("edge", F.col("n").cast("long").alias("n"), F.col("b").alias("node")))
         base, tail = F.when(full, F.col("node")).otherwise(F.col("base")), F.when(full, one).otherwise(F.concat("tail", one))
-        stays = F.struct("node", "cost", "length", F.lit(False).alias("fresh"), "tail", "base")
-        goes = F.struct(F.col("b").alias("node"), (F.col("cost") + price).alias("cost"), (F.col("length") + F.col("weight")).alias("length"), F.lit(True).alias("fresh"), tail.alias("tail"), base.alias("base"))
+        stays = F.struct("node", "cost", "length", "source", F.lit(False).alias("fresh"), "tail", "base")
+        goes = F.struct(F.col("b").alias("node"), (F.col("cost") + price).alias("cost"), (F.col("length") + F.col("weight")).alias("length"), "source", F.lit(True).alias("fresh"), tail.alias("tail"), base.alias("base"))
         both = each.select("request", F.explode(F.when(F.col("b").isNull(), F.array(stays)).otherwise(F.array(stays, goes))).alias("x")).select("request", "x.*")
-        state = both.groupBy("request", "node").agg(F.min(F.struct("cost", "length", "fresh", "tail", "base")).alias("m")).select("request", "node", "m.cost", "m.length", "m.base", "m.tail", "m.fresh")
+        state = both.groupBy("request", "node").agg(F.min(F.struct("cost", "length", "source", "fresh", "tail", "base")).alias("m")).select("request", "m.source", "node", "m.cost", "m.length", "m.base", "m.tail", "m.fresh")
         if n % every == every - 1:
-            reached = state.join(asked, "request").withColumn("bound", F.min(F.when(F.col("node") == F.col("target"), F.col("cost"))).over(Window.partitionBy("request")))
+            reached = state.join(goals, ["request", "node"], "left").withColumn("bound", F.min(F.when(F.col("goal"), F.col("cost"))).over(Window.partitionBy("request")))
             state = turns.keep(reached.withColumn("fresh", F.col("fresh") & (F.col("bound").isNull() | (F.col("cost") < F.col("bound")))).select(columns))
             if state.filter("fresh").isEmpty():
                 break
-    found = state.join(asked, "request").filter("node = target").select("request", "source", "cost", "length", "base", F.col("tail").alias("steps"))
+    found = state.join(goals, ["request", "node"]).select("request", "source", F.col("node").alias("target"), "cost", "length", "base", F.col("tail").alias("steps"))
     found = landed(found)
     far = found.filter("base <> source")
     while not far.isEmpty():
         earlier = state.select("request", F.col("node").alias("base"), F.col("base").alias("before"), F.col("tail").alias("head"))
-        far = landed(far.join(earlier, ["request", "base"]).select("request", "source", "cost", "length", F.col("before").alias("base"), F.concat("head", "steps").alias("steps")))
+        far = landed(far.join(earlier, ["request", "base"]).select("request", "source", "target", "cost", "length", F.col("before").alias("base"), F.concat("head", "steps").alias("steps")))
         found = found.filter("base = source").unionAll(far)
         found = landed(found)
         far = found.filter("base <> source")
@@ -194,12 +206,23 @@ def alternatives(requests: DataFrame, edges: DataFrame, most: int = MOST) -> Dat
 def best_snapped(sources: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
     """GRF-7: (request, length, source, target, path, stops) of the shortest path from any source to any target of a request.
 
-    sources and targets are (request, node).  Each pair is one request of GRF-6.
+    sources and targets are (request, node).  All sources of a request are searched from at once;
+    only where a node is a source and a target, each pair is one request of GRF-6.
     """
-    pairs = sources.select("request", F.col("node").alias("source")).join(targets.select("request", F.col("node").alias("target")), "request").filter("source <> target")
-    asked = landed(pairs.withColumn("own", F.col("request")).withColumn("request", F.xxhash64("request", "source", "target")))
-    found = shortest(asked, edges).join(asked, "request")
-    return found.groupBy(F.col("own").alias("request")).agg(F.min(F.struct("length", "source", "target", "path", "stops")).alias("m")).select("request", "m.*")
+    own = lambda df, other: df.select("request", "node").distinct().join(other.select("request").distinct(), "request", "left_semi")
+    starts, goals = landed(own(sources, targets)), landed(own(targets, sources))
+    both = landed(starts.join(goals, ["request", "node"], "left_semi").select("request").distinct())
+    net, chains = contracted(edges, starts.unionAll(goals).select("node"))
+    from_, to = (df.join(both, "request", "left_anti") for df in (starts, goals))
+    found = spread(landed(from_.select("request", F.col("node").alias("source"))), landed(to), net)
+    if not both.isEmpty():
+        pairs = starts.join(both, "request").withColumnRenamed("node", "source").join(goals.withColumnRenamed("node", "target"), "request").filter("source <> target")
+        asked = landed(pairs.select(F.col("request").alias("own"), "source", "target", F.xxhash64("request", "source", "target").alias("request")))
+        each = search(asked.select("request", "source", "target"), net).join(asked.select("request", "own", "target"), "request")
+        found = found.unionByName(each.drop("request").withColumnRenamed("own", "request"))
+    # Of the routes of a request the least by (length, source, target) is the only one of its ends.
+    best = found.groupBy("request").agg(F.min(F.struct("length", "source", "target", "steps")).alias("m")).select("request", "m.*")
+    return unpacked(best.withColumn("from", F.col("source")), chains).select("request", "length", F.col("from").alias("source"), "target", "path", "stops")
 
 
 def round_trip(requests: DataFrame, edges: DataFrame) -> DataFrame:

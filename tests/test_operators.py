@@ -237,3 +237,24 @@ def test_figures_and_generated_text(spark):
     found = df.select(stats("page"), sanitised("said")).collect()
     assert found[0][0] == "Dislivello: 450 m | Lunghezza: 3,5 km | Durata ferrata: 2h30m"
     assert [r[1] for r in found] == ["<H2 class='x'>T</H2>\n<p>c</p>", "plain", "no tag", "", None]
+
+
+def test_best_snapped_is_the_best_of_all_pairs(spark):
+    """All sources searched at once: equal lengths, sources that are targets too, and targets out of reach."""
+    from pyspark.sql import functions as F
+
+    from cairn.operators import routes
+
+    # A grid of 4 by 4 of equal weights, and a node apart.
+    links = [(4 * y + x, 4 * y + x + 1, 1.0) for y in range(4) for x in range(3)] + [(4 * y + x, 4 * y + x + 4, 1.0) for y in range(3) for x in range(4)] + [(20, 21, 1.0)]
+    edges = spark.createDataFrame([(n, *e, w) for n, (a, b, w) in enumerate(links) for e in ((a, b), (b, a))], "edge long, a long, b long, weight double")
+    from_ = {1: [0, 1, 4], 2: [3, 12], 3: [0, 5], 4: [20, 0], 5: [20], 6: [7]}
+    to = {1: [15, 11, 14], 2: [0, 15], 3: [5, 0, 10], 4: [21, 15], 5: [3], 6: [7]}
+    as_rows = lambda d: spark.createDataFrame([(r, n) for r, ns in d.items() for n in ns], "request long, node long")
+    found = {r["request"]: tuple(r)[1:] for r in routes.best_snapped(as_rows(from_), as_rows(to), edges).collect()}
+    pairs = spark.createDataFrame([(n, r, a, b) for n, (r, a, b) in enumerate((r, a, b) for r in from_ for a in from_[r] for b in to[r] if a != b)], "request long, own long, source long, target long")
+    each = routes.shortest(pairs.drop("own"), edges).join(pairs, "request")
+    best = each.groupBy("own").agg(F.min(F.struct("length", "source", "target", "path", "stops")).alias("m")).select("own", "m.*")
+    assert found == {r["own"]: tuple(r)[1:] for r in best.collect()} and set(found) == {1, 2, 3, 4}
+    once = routes.spread(spark.createDataFrame([(1, 0), (1, 3)], "request long, source long"), spark.createDataFrame([(1, 11)], "request long, node long"), routes.uncontracted(edges))
+    assert [(r["source"], r["length"]) for r in once.collect()] == [(3, 2.0)]
