@@ -8,7 +8,8 @@ the one node's text goes to the other's.
 
 Each node is first held against the central node of one of its buckets: the one whose buckets hold
 most nodes in all, so that the buckets of a group name the same node.  What that has connected is
-never compared again.  Of all other pairs of a bucket, a second sketch of a thousand places lets
+never compared again.  Pairs that op6's fingerprints link (over these shingles) are verified in the
+same way, whether or not they share a bucket.  Of all other pairs of a bucket, a second sketch of a thousand places lets
 through those of a similarity near 0.8 or more, so that what is verified grows with the nodes and
 not with the square of a group that is alike by less.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.session import kept
+from cairn.llm import simhash
 from cairn.llm.blocks import mix, tidied
 from cairn.operators.components import connected_components
 
@@ -184,6 +186,18 @@ def alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, simil
     return dealt.mapInArrow(tidied(run), "u long, v long")
 
 
+def fingerprinted(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(u, v) nodes that op6 links: one node of each fingerprint for those close to it, and it with the others of its own."""
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc_id"), "text")
+    found = simhash.fingerprints(rows, width).toDF("place", "fp").distinct().join(nodes.select("place", "node"), "place").select("node", "fp")
+    found = kept(found)
+    prints = kept(found.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    first = prints.select("fp", "least")
+    linked = simhash.links(prints.select("fp", "n")).toDF("fu", "fv").join(first.toDF("fu", "u"), "fu").join(first.toDF("fv", "v"), "fv").select("u", "v")
+    own = found.join(first, "fp").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return linked.unionAll(own).distinct()
+
+
 def near_copies(docs: DataFrame, width: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """doc_id, row and component: equal for rows linked by any chain of texts whose sets of shingles have a similarity of 0.8 or more.
 
@@ -203,7 +217,7 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, similar: float = SIMILAR)
     heads = met.join(central, "key").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
     heads = heads.join(sketches.toDF("u", "us"), "u").join(sketches.toDF("v", "vs"), "v").withColumn("far", differing("us", "vs")).filter(F.col("far") <= FAR)
     first = heads.groupBy("u").agg(F.min(F.struct("far", "v"))["v"].alias("v"))
-    links = kept(alike(first, nodes, rows, width, similar))
+    links = kept(alike(first.unionAll(fingerprinted(docs, nodes.filter("size(keys) > 0"), width)).distinct(), nodes, rows, width, similar))
     # All other pairs of a bucket that are not connected by now.
     part = connected_components(links).toDF("node", "part")
     parts = kept(met.select("node").distinct().join(part, "node", "left").select("node", F.coalesce("part", "node").alias("part")))

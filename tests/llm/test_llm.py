@@ -608,3 +608,15 @@ def test_fine_sketches_keep_pairs_at_the_limit_and_refuse_lesser_ones():
                 over += far(near_copies.fine_sketch(a), near_copies.fine_sketch(b)) > most
             assert over <= 1 if similar == 0.8 else over >= (198 if size > 9 else 0)
     assert not near_copies.fine_sketch(np.empty(0, np.uint64)).any()
+
+
+def test_fingerprints_lead_to_near_copies(spark):
+    """Pairs that op6 links are found among the nodes; what is far apart is not verified by them."""
+    from cairn.llm.near_copies import fingerprinted, signed
+
+    base = [" ".join(f"w{(n * n * 7 + k * 13) % 997}" for n in range(k, k + 120)) for k in range(6)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(10, base[0] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    named = {r.node: r.doc_id for r in signed(docs, 5, 0.8).select("node", "doc_id").collect()}
+    pairs = fingerprinted(docs, signed(docs, 5, 0.8).select("node", "place"), 5)
+    assert {frozenset((named[r.u], named[r.v])) for r in pairs.collect()} == {frozenset((0, 10))}
