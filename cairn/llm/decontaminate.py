@@ -37,7 +37,8 @@ PACE, PERIOD = 2, 1024
 WINDOWS = 4096
 #: Text of the items of one index; more are searched in several passes over the documents.
 ITEM_BYTES = 2 << 20
-CHUNK = 4 << 20
+#: Text searched at once; what a search needs besides is some twenty times as much.
+CHUNK = 1 << 19
 
 
 def plain(text: bytes) -> bytes:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -620,3 +621,19 @@ def test_fingerprints_lead_to_near_copies(spark):
     named = {r.node: r.doc_id for r in signed(docs, 5, 0.8).select("node", "doc_id").collect()}
     pairs = fingerprinted(docs, signed(docs, 5, 0.8).select("node", "place"), 5)
     assert {frozenset((named[r.u], named[r.v])) for r in pairs.collect()} == {frozenset((0, 10))}
+
+
+def test_a_search_for_benchmark_items_takes_little_memory():
+    """Texts of 4 MB are searched in parts, so that the arrays of a worker stay small beside its executor."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, 6, np.uint8)) for _ in range(2000)]
+    texts = [b" ".join(words[k] for k in rng.integers(0, 2000, 300)) for _ in range(2000)]
+    held = decontaminate.Index([(i, texts[i][:200]) for i in range(20)])
+    tracemalloc.start()
+    try:
+        found = held.leaks(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {(d, i) for d, i, x in found if x == 0} >= {(i, i) for i in range(20)}
+    assert peak < 24 << 20
