@@ -199,8 +199,11 @@ def further(requests: DataFrame, net: DataFrame, most: int = MOST, before: DataF
 
 def alternatives(requests: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
     """GRF-9: up to four routes (request, alt, cost, length, path, stops): each new one avoids all edges used so far, and the first that shares 0.7 or more with the first ends the search."""
+    from cairn.operators.near_routes import answered, dealt  # which needs further()
+
     net, chains = contracted(edges, ends_of(requests))
-    return unpacked(further(requests, net, most), chains)
+    net = landed(net)
+    return unpacked(answered(requests, net, dealt(net), most), chains)
 
 
 def best_snapped(sources: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.session import landed
-from cairn.operators.routes import MOST, PENALTY, STEPS, contracted, ends_of, further, picked, search, steps_in, unpacked
+from cairn.operators.near_routes import Dealt, answered, carried_on, dealt
+from cairn.operators.routes import MOST, PENALTY, STEPS, contracted, ends_of, further, picked, steps_in, unpacked
 
 #: Places of a request at most, and up to which all orderings are tried; with more, only the shortest by the distances between places.
 MOST_VIAS, ALL_ORDERINGS = 4, 3
@@ -39,13 +40,14 @@ def legs_of(placed: DataFrame) -> DataFrame:
     return placed.select("*", F.posexplode(pairs).alias("leg", "ends")).select("*", "ends.*").drop("ends")
 
 
-def plain_routes(placed: DataFrame, net: DataFrame) -> DataFrame:
+def plain_routes(placed: DataFrame, net: DataFrame, parts: Dealt | None = None) -> DataFrame:
     """(own, request, rank, places, source, length, steps): the shortest paths of all legs one after another; of orderings with more than ALL_ORDERINGS places, the shortest of each request.
 
     Each pair of places is searched once, however many orderings and requests ask for it.
     """
+    parts = parts or dealt(net)
     legs = landed(legs_of(placed).withColumn("pair", F.xxhash64("source", "target")))
-    found = search(legs.select(F.col("pair").alias("request"), "source", "target").distinct(), net).select(F.col("request").alias("pair"), "steps", "length")
+    found = answered(legs.select(F.col("pair").alias("request"), "source", "target").distinct(), net, parts, 1).select(F.col("request").alias("pair"), "steps", "length")
     parts = F.sort_array(F.collect_list(F.struct("leg", "steps", "length")))
     whole = legs.join(found, "pair").groupBy("own", "request", "rank", "places").agg(parts.alias("parts")).filter(F.size("parts") == F.size("places") - 1)
     total = F.aggregate("parts.length", F.lit(0.0), lambda x, y: x + y)
@@ -55,6 +57,20 @@ def plain_routes(placed: DataFrame, net: DataFrame) -> DataFrame:
     return landed(whole.withColumn("nth", nth).filter(~many | (F.col("nth") == 1)).drop("nth"))
 
 
+def all_branches(base: DataFrame, net: DataFrame, parts: Dealt) -> DataFrame:
+    """The ways through each ordering with base's columns: leg by leg in groups where components are small, and by branches() for the others."""
+    columns = base.columns
+    own = base.join(parts.nodes.withColumnRenamed("node", "source"), "source")
+    now = own.withColumns({"branch": F.array().cast("array<int>"), "steps": F.array().cast(STEPS), "length": F.lit(0.0)})
+    for leg in range(1, base.agg(F.max(F.size("places"))).first()[0] or 0):
+        now = carried_on(now, parts, leg, BRANCHES - 1)
+    out = now.select(columns)
+    if not parts.others:
+        return out
+    rest = landed(base.join(parts.nodes.withColumnRenamed("node", "source"), "source", "left_anti").select(columns))
+    return out.unionByName(branches(rest, net).join(rest.drop("steps", "length"), "own").select(columns))
+
+
 def branches(base: DataFrame, net: DataFrame) -> DataFrame:
     """(own, steps, length): the ways through each ordering, on each leg up to four that avoid the edges of the legs before; the first ones in order of branch.
 
@@ -99,9 +115,10 @@ def inversions(base: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def routes_through(requests: DataFrame, net: DataFrame, nodes: DataFrame, most: int = MOST) -> DataFrame:
     """through_all over a network; paths as steps."""
-    base = plain_routes(orderings(requests), net)
-    ways = branches(base, net).join(base.select("own", "request", "source"), "own").select("own", "request", "source", "length", "steps")
-    found = base.select(*ways.columns).unionAll(ways).join(inversions(base, nodes), "own")
+    parts = dealt(net, nodes if "component" in nodes.columns else None)
+    base = plain_routes(orderings(requests), net, parts)
+    base = landed(base.join(inversions(base, nodes), "own").drop("rank"))
+    found = base.unionByName(all_branches(base, net, parts))
     score = F.struct(F.round(repeated(F.col("steps")) * 100).alias("d"), F.round("length").alias("m"), F.col("inversions").alias("i"), F.round("length", 6).alias("l"))
     row = F.struct(score.alias("score"), "steps", "length", repeated(F.col("steps")).alias("dup"), "source")
     ordered = found.groupBy("request").agg(F.array_sort(F.collect_set(row)).alias("all"))
