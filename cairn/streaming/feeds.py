@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -152,29 +151,27 @@ def expiring() -> StatefulProcessor:
             self.handle = handle
             self.latest = handle.getValueState("latest", "seq long, value string, ends long")
 
-        @staticmethod
-        def row(key, record, change: str) -> pd.DataFrame:
-            return pd.DataFrame({"key": [key[0]], "seq": [record[0]], "value": [record[1]], "ends": [record[2]], "change": [change]})
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            new = pd.concat(list(rows)).sort_values("seq").iloc[-1]
-            new = int(new["seq"]), new["value"], int(new["ends"])
-            old = self.latest.get() if self.latest.exists() else None
+        # Each call of the state is a message to the executor, so no more are made than a change needs, and rows are no data frames of one row each.
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            new = tuple(max(((r["seq"], r["value"], r["ends"]) for r in rows), key=lambda r: r[0]))
+            old = self.latest.get()
             if old is not None and old[0] >= new[0]:
                 return
             if old is not None:
-                self.handle.deleteTimer(old[2])
+                if old[2] != new[2]:
+                    self.handle.deleteTimer(old[2])
                 if old[2] <= timerValues.getCurrentWatermarkInMs():  # its timer would come after this
-                    yield self.row(key, old, "expired")
+                    yield Row(key=key[0], seq=old[0], value=old[1], ends=old[2], change="expired")
             self.latest.update(new)
-            self.handle.registerTimer(new[2])
-            yield self.row(key, new, "set")
+            if old is None or old[2] != new[2]:
+                self.handle.registerTimer(new[2])
+            yield Row(key=key[0], seq=new[0], value=new[1], ends=new[2], change="set")
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if self.latest.exists():
-                old = self.latest.get()
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            old = self.latest.get()
+            if old is not None:
                 self.latest.clear()
-                yield self.row(key, old, "expired")
+                yield Row(key=key[0], seq=old[0], value=old[1], ends=old[2], change="expired")
 
         def close(self) -> None:
             pass
@@ -189,8 +186,8 @@ def expiring_stream(records: DataFrame, late: str = "0 seconds") -> DataFrame:
     are valid; a record of a lower seq than the held one changes nothing.  The session's state
     store has to be ROCKS.
     """
-    each = records.withWatermark("ts", late).withColumn("ends", F.unix_millis("expires"))
-    changes = each.groupBy("key").transformWithStateInPandas(expiring(), "key long, seq long, value string, ends long, change string", "Update", "EventTime")
+    each = records.withWatermark("ts", late).withColumn("ends", F.unix_millis("expires")).select("key", "seq", "value", "ends", "ts")
+    changes = each.groupBy("key").transformWithState(expiring(), "key long, seq long, value string, ends long, change string", "Update", "EventTime")
     return changes.select("key", "seq", "value", F.timestamp_millis("ends").alias("expires"), "change")
 
 
