@@ -9,13 +9,17 @@ the one node's text goes to the other's.
 Each node is first held against the central node of one of its buckets: the one whose buckets hold
 most nodes in all, so that the buckets of a group name the same node.  What that has connected is
 never compared again.  Pairs that op6's fingerprints link (over these shingles) are verified in the
-same way, whether or not they share a bucket.  Of all other pairs of a bucket, a second sketch of a thousand places lets
-through those of a similarity near 0.8 or more, so that what is verified grows with the nodes and
-not with the square of a group that is alike by less.
+same way, whether or not they share a bucket.  All other pairs of a bucket are held against each
+other where the bucket's nodes meet, by a second sketch of a thousand places and then exactly, each
+pair in the first bucket that it shares; pairs are no rows, only the links that connect more are.
+Texts go to the buckets in which their nodes have a pair to verify.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,8 +40,12 @@ BITS, FAR = 4, 23
 TURNS, PLACES, FINE = 8, 128, 2
 #: Deviations of the second sketch's estimate that a pair of similarity 0.8 may have: two in ten thousand have more.
 DEVIATIONS = 3.5
-#: Pairs of one node, and nodes of one bucket, that are looked at in a task.
+#: Pairs of one node that are looked at in a task.
 FAN = 256
+#: Bytes of the nodes of a bucket (sketches, or texts as packed) that a task holds against all its others, what is added to a node's own, and words of two sketches compared at once.
+TILE_BYTES, NODE_BYTES, AT_ONCE = 4 << 20, 512, 1 << 20
+#: Shingles of the sets that a task keeps unpacked.
+UNPACKED = 1 << 21
 #: Rows that name who is compared to whom which go to all tasks, some 8 MB; more are joined by a shuffle of the texts.
 SENT = 1 << 18
 SEEDS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -138,16 +146,9 @@ def differing(a: str, b: str) -> Column:
     return F.bit_count(bits)
 
 
-def differing_fine(a: str, b: str) -> Column:
-    """The same for two second sketches."""
-    words = TURNS * PLACES // 64
-    out = F.lit(0)
-    for j in range(words):
-        bits = F.col(a)[j].bitwiseXOR(F.col(b)[j])
-        for i in range(1, FINE):
-            bits = bits.bitwiseOR(F.col(a)[i * words + j].bitwiseXOR(F.col(b)[i * words + j]))
-        out = out + F.bit_count(bits)
-    return out
+def unpacked(packed: bytes, width: int) -> np.ndarray:
+    """The shingles of a text that signed() has packed."""
+    return shingles(pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True), width)
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similar: float) -> DataFrame:
@@ -165,7 +166,6 @@ def alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, simil
     dealt = rows.select("place", "packed").join(asked, "place").repartition("v", "part").sortWithinPartitions("v", "part", "turn").select("v", "part", "turn", F.col("node").alias("u"), "packed")
 
     def run(batches):
-        codec = pa.Codec("zstd")
         now, held = None, np.empty(0, np.uint64)
         for batch in batches:
             v, part, turn, u = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
@@ -173,8 +173,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, simil
             for i, t in enumerate(batch.column(4)):
                 if turn[i] == 0 and now == (v[i], part[i]):
                     continue
-                packed = t.as_py()
-                own = shingles(codec.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True), width)
+                own = unpacked(t.as_py(), width)
                 if turn[i] == 0:
                     now, held = (v[i], part[i]), own
                     continue
@@ -186,6 +185,139 @@ def alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, simil
     return dealt.mapInArrow(tidied(run), "u long, v long")
 
 
+@dataclass
+class Side:
+    """Nodes of a bucket that meet others, by column; fine as (node, bit, word)."""
+
+    node: np.ndarray
+    part: np.ndarray
+    far: np.ndarray
+    fine: np.ndarray
+    keys: np.ndarray
+    packed: pa.Array | None
+
+
+def side(rows: pa.RecordBatch) -> Side:
+    node, part, far = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "part", "far"))
+    fine, keys = (rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("fine", "keys"))
+    return Side(node, part, far, fine.view(np.uint64).reshape(len(node), FINE, -1), keys.reshape(len(node), BANDS), rows.column("packed") if "packed" in rows.schema.names else None)
+
+
+def met_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, Side, Side]]:
+    """(key, task, mine, others) from rows in order of key, task and turn: those of turn 0, and of the others as many as a batch has."""
+    now, held, mine = None, [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key, task, turn = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "task", "turn"))
+        cuts = (np.flatnonzero(np.diff(key) | np.diff(task) | np.diff(turn)) + 1).tolist()
+        for a, z in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            if now != (key[a], task[a]):
+                now, held, mine = (key[a], task[a]), [], None
+            if turn[a] == 0:
+                held.append(batch.slice(a, z - a))
+                continue
+            if mine is None:
+                if not held:
+                    continue
+                mine = side(pa.concat_batches(held))
+            yield int(key[a]), int(task[a]), mine, side(batch.slice(a, z - a))
+
+
+def near_pairs(key: int, mine: Side, others: Side) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in mine and others of the pairs that are of different parts, may be similar and share no bucket before this one; and how far their second sketches differ."""
+    step = max(1, AT_ONCE // (len(others.node) * mine.fine[0].size))
+    for at in range(0, len(mine.node), step):
+        here = slice(at, at + step)
+        far = np.bitwise_count(np.bitwise_or.reduce(mine.fine[here, None] ^ others.fine[None], axis=2)).sum(axis=2, dtype=np.int32)
+        good = (far <= np.maximum(mine.far[here, None], others.far[None])) & (mine.part[here, None] != others.part[None]) & (mine.node[here, None] > others.node[None])
+        i, j = np.nonzero(good)
+        far, i = far[i, j], i + at
+        first = (mine.keys[i] == others.keys[j]).argmax(axis=1)
+        here = mine.keys[i, first] == key
+        yield i[here], j[here], far[here]
+
+
+def with_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node) of the nodes that have a pair to verify in a bucket."""
+    for key, _, mine, others in met_in(batches):
+        i, j, _ = (np.concatenate(x) for x in zip(*near_pairs(key, mine, others), strict=True))
+        found = np.union1d(mine.node[i], others.node[j])
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "node"])
+
+
+def linking(width: int, similar: float):
+    """(u, v) of the pairs of a bucket that are similar, the nearest first, but those that are connected by then."""
+
+    def run(batches):
+        sets: dict[int, np.ndarray] = {}
+        size, now, top = 0, None, {}
+
+        def root(x: int) -> int:
+            while (y := top.get(x, x)) != x:
+                top[x] = top.get(y, y)
+                x = y
+            return x
+
+        def members(own: Side, at: int) -> np.ndarray:
+            nonlocal size
+            if (found := sets.get(node := int(own.node[at]))) is None:
+                if size > UNPACKED:
+                    sets.clear()
+                    size = 0
+                found = sets[node] = unpacked(own.packed[at].as_py(), width)
+                size += len(found)
+            return found
+
+        for key, task, mine, others in met_in(batches):
+            if now != (key, task):
+                now, top = (key, task), {}
+            u, v = [], []
+            i, j, far = (np.concatenate(x) for x in zip(*near_pairs(key, mine, others), strict=True))
+            for k in np.argsort(far, kind="stable").tolist():
+                a, b = root(int(mine.part[i[k]])), root(int(others.part[j[k]]))
+                if a == b:
+                    continue
+                one, other = members(mine, i[k]), members(others, j[k])
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                if both >= similar * (len(one) + len(other) - both):
+                    top[a] = b
+                    u.append(int(mine.node[i[k]]))
+                    v.append(int(others.node[j[k]]))
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def meeting(members: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows of held by bucket, for members (key, node): each bucket in as many tasks as its nodes' bytes ask for, some of them (turn 0) held against all (turn 1) in each."""
+    sized = members.join(held.select("node", "bytes"), "node")
+    tasks = sized.groupBy("key").agg(F.ceil(F.sum(F.col("bytes") + NODE_BYTES) / TILE_BYTES).cast("int").alias("tasks"))
+    dealt = members.join(tasks, "key")
+    mine = dealt.select("key", "node", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int").alias("task"), F.lit(0).alias("turn"))
+    others = dealt.select("key", "node", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(1).alias("turn"))
+    return mine.unionAll(others).join(held.drop("bytes"), "node").repartition("key", "task").sortWithinPartitions("key", "task", "turn")
+
+
+def rows_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows at the places of wanted (place, node), which go to all tasks where they are few."""
+    wanted = kept(wanted)
+    return rows.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "place")
+
+
+def met_links(left: DataFrame, parts: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similar: float) -> DataFrame:
+    """(u, v): similar nodes of different parts that share a bucket; not all of them, but enough to connect all."""
+    own = left.select("node").distinct().join(nodes.select("node", "place"), "node")
+    first = lambda *columns: [F.first(c).alias(c) for c in columns]
+    sketched = rows_of(rows.select("place", "fine", "far", "keys"), own).groupBy("node").agg(*first("fine", "far", "keys"))
+    sketched = kept(sketched.join(parts, "node"))
+    chosen = kept(meeting(left, sketched.withColumn("bytes", F.lit(NODE_BYTES))).mapInArrow(tidied(with_pairs), "key long, node long").distinct())
+    texts = rows_of(rows.select("place", "packed"), chosen.select("node").distinct().join(nodes.select("node", "place"), "node")).groupBy("node").agg(*first("packed"))
+    return meeting(chosen, kept(sketched.join(texts, "node").withColumn("bytes", F.length("packed")))).mapInArrow(tidied(linking(width, similar)), "u long, v long")
+
+
 def fingerprinted(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(u, v) nodes that op6 links: one node of each fingerprint for those close to it, and it with the others of its own."""
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc_id"), "text")
@@ -221,15 +353,8 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, similar: float = SIMILAR)
     # All other pairs of a bucket that are not connected by now.
     part = connected_components(links).toDF("node", "part")
     parts = kept(met.select("node").distinct().join(part, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
-    apart = met.join(parts, "node").groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key", F.ceil(F.col("n") / (8 * FAN)).cast("int").alias("tasks"))
-    left = kept(met.select("key", "node").join(apart, "key").join(parts, "node"))
-    wanted = kept(left.select("node").distinct().join(nodes.select("node", "place"), "node"))
-    if wanted.count() <= SENT:
-        wanted = F.broadcast(wanted)
-    left = left.join(rows.select("place", "fine", "far").join(wanted, "place").groupBy("node").agg(F.first("fine").alias("fine"), F.first("far").alias("far")), "node")
-    mine = left.select("key", F.col("node").alias("u"), F.col("fine").alias("us"), F.col("far").alias("uf"), F.col("part").alias("up"), F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int").alias("task"))
-    others = left.select("key", F.col("node").alias("v"), F.col("fine").alias("vs"), F.col("far").alias("vf"), F.col("part").alias("vp"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
-    rest = mine.join(others, ["key", "task"]).filter((F.col("up") != F.col("vp")) & (F.col("u") > F.col("v")) & (differing_fine("us", "vs") <= F.greatest("uf", "vf"))).select("u", "v").distinct()
-    links = links.unionAll(alike(rest, nodes, rows, width, similar))
+    apart = met.join(parts, "node").groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
+    left = kept(met.select("key", "node").join(apart, "key"))
+    links = links.unionAll(met_links(left, parts, nodes, rows, width, similar))
     named = connected_components(links).toDF("node", "component")
     return rows.select("doc_id", "row", "node").join(named, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))

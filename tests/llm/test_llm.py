@@ -637,3 +637,21 @@ def test_a_search_for_benchmark_items_takes_little_memory():
         tracemalloc.stop()
     assert {(d, i) for d, i, x in found if x == 0} >= {(i, i) for i in range(20)}
     assert peak < 24 << 20
+
+
+@pytest.mark.parametrize("tile", [1 << 12, 4 << 20])
+def test_pairs_just_under_the_limit_are_no_rows(spark, monkeypatch, tile):
+    """Ten bundles of copies alike at 0.88, those of different bundles at 0.78: what is sent to be verified grows with the texts, not with their pairs."""
+    from cairn.llm import near_copies
+
+    own, asked, plain = random.Random(8), [], near_copies.alike
+    words = lambda n: [f"w{own.randrange(10**6)}" for _ in range(n)]
+    base = words(150)
+    rows = [(i, " ".join(base[: (at := 5 + 14 * (i % 10))] + words(5) + base[at + 5 :])) for i in range(240)]
+    monkeypatch.setattr(near_copies, "TILE_BYTES", tile, raising=False)
+    monkeypatch.setattr(near_copies, "alike", lambda pairs, *rest: asked.append(pairs.count()) or plain(pairs, *rest))
+    found = defaultdict(set)
+    for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.component].add(r.doc_id)
+    assert sorted(map(sorted, found.values())) == [list(range(k, 240, 10)) for k in range(10)]
+    assert sum(asked) <= 4 * len(rows)
