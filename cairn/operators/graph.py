@@ -61,6 +61,14 @@ def edges_of(vertices: DataFrame, leaders: DataFrame, key: str = "osm_id") -> Da
     return joined.filter("a <> b").select("feature", "pos", "a", "b", "weight")
 
 
+def least_edges(vertices: DataFrame, leaders: DataFrame, key: str = "osm_id") -> DataFrame:
+    """(a, b, weight): edges_of() for those who need no features: of segments over the same two nodes the shortest, taken before they meet the leaders."""
+    s = vertex_pairs(vertices, key).select(node_key("ax", "ay").cast("long").alias("p"), node_key("bx", "by").cast("long").alias("q"), haversine("ax", "ay", "bx", "by").alias("weight"))
+    one = s.groupBy("p", "q").agg(F.min("weight").alias("weight"))
+    joined = one.join(leaders.toDF("p", "a"), "p").join(leaders.toDF("q", "b"), "q")
+    return joined.filter("a <> b").select("a", "b", "weight")
+
+
 def simple_edges(edges: DataFrame) -> DataFrame:
     """Both directions, of parallel edges the shortest: (edge, a, b, weight); edge is the same both ways."""
     low = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")

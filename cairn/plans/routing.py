@@ -46,11 +46,11 @@ rq AS (SELECT component AS request, min(node) AS source, max(node) AS target FRO
 NETWORK = network_sql("v_trail_vertices")
 
 
-def network(spark, d, vertices: str = "v_trail_vertices") -> tuple[DataFrame, DataFrame]:
-    """Nodes with components, and raw edges."""
+def network(spark, d, vertices: str = "v_trail_vertices", edges_of=graph.least_edges) -> tuple[DataFrame, DataFrame]:
+    """Nodes with components, and edges."""
     v = view(spark, d, vertices)
     nodes = kept(graph.nodes_of(v))
-    edges = kept(graph.edges_of(v, graph.merged(nodes)))
+    edges = kept(edges_of(v, graph.merged(nodes)))
     return kept(graph.component_sizes(nodes, edges)), edges
 
 
@@ -62,7 +62,7 @@ def requests(nodes: DataFrame) -> DataFrame:
 
 @query("GRF-1", f"WITH RECURSIVE {NETWORK} SELECT feature, pos, a, b, round(weight, 5) AS weight FROM raw WHERE a <> b")
 def grf_1(spark, d):
-    return network(spark, d)[1].withColumn("weight", F.round("weight", 5))
+    return network(spark, d, edges_of=graph.edges_of)[1].withColumn("weight", F.round("weight", 5))
 
 
 @query("GRF-2", f"WITH RECURSIVE {NETWORK} SELECT node, node AS leader FROM nd")

@@ -42,3 +42,19 @@ def test_small_components_need_no_rounds(spark, monkeypatch):
     asked = spark.createDataFrame([(1, 200, [206, 213], 215)], "request long, source long, vias array<long>, target long")
     assert via_routes.through_all(asked, edges, nodes).count()
     assert routes.alternatives(spark.createDataFrame([(1, 200, 215)], "request long, source long, target long"), edges).count()
+
+
+def test_trails_over_the_same_ground_make_no_more_edges(spark, tmp_path):
+    """Orders whose keys differ by 200 are trails along the same places."""
+    from cairn.operators import graph
+    from cairn.plans import routing
+
+    found = []
+    for copies in (1, 20):
+        rows = [(k * 200 + o, n, 1, 1) for k in range(copies) for o in (1, 2, 3) for n in (1, 2, 3, 4)]
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/{copies}/lineitem.parquet")
+        _, edges = routing.network(spark, f"{tmp_path}/{copies}")
+        found.append((edges.count(), sorted(map(tuple, graph.simple_edges(edges).collect()))))
+    assert found[0] == found[1] and found[0][0] == 9
+    _, raw = routing.network(spark, f"{tmp_path}/20", edges_of=graph.edges_of)
+    assert raw.count() == 180 and sorted(map(tuple, graph.simple_edges(raw).collect())) == found[0][1]
