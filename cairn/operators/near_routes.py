@@ -37,8 +37,8 @@ class Dealt:
 
 
 def dealt(net: DataFrame, members: DataFrame | None = None) -> Dealt:
-    """net (edge, a, b, weight, n) by components; members (node, component) where they are known."""
-    members = connected_components(net, "a", "b") if members is None else members.select("node", "component")
+    """net (edge, a, b, weight, n), both ways, by components; members (node, component) where they are known."""
+    members = connected_components(net.filter("a < b"), "a", "b") if members is None else members.select("node", "component")
     each = net.join(members.withColumnRenamed("node", "a"), "a")
     sizes = landed(each.groupBy("component").agg(F.count("*").alias("size")))
     small = F.col("size") <= LOCAL

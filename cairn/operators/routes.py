@@ -27,11 +27,12 @@ def contracted(edges: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]
     began, are on no shortest route and left out.
     """
     ends = ends.select("node").distinct()
-    plain = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d")).filter("d = 2").select("node").join(ends, "node", "left_anti")
-    plain = landed(plain)
-    after = edges.select(F.col("edge").alias("next"), F.col("a").alias("b"))
-    ahead = edges.join(plain.withColumnRenamed("node", "b"), "b").join(after, "b").filter(F.col("next") != F.col("edge")).select("edge", "a", "next", F.col("b").alias("at"))
-    now = edges.join(ahead, ["edge", "a"], "left").select("edge", "a", "weight", F.lit(1).cast("long").alias("n"), F.col("b").alias("end"), F.col("edge").alias("last"), "next", "at")
+    # A node of two edges goes on from each over the other, so the edges meet their nodes once and not each other.
+    two = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d"), F.min("edge").alias("low"), F.max("edge").alias("high")).filter("d = 2").drop("d")
+    plain = landed(two.join(ends, "node", "left_anti"))
+    other = F.when(F.col("low") != F.col("high"), F.when(F.col("edge") == F.col("low"), F.col("high")).otherwise(F.col("low")))
+    ahead = edges.join(plain.withColumnRenamed("node", "b"), "b", "left").withColumn("next", other)
+    now = ahead.select("edge", "a", "weight", F.lit(1).cast("long").alias("n"), F.col("b").alias("end"), F.col("edge").alias("last"), "next", F.when(F.col("next").isNotNull(), F.col("b")).alias("at"), F.col("b").alias("stop"))
     open_ = None
     turns = Turns(edges.sparkSession)
     while True:
@@ -41,15 +42,14 @@ def contracted(edges: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]
             break
         open_ = left
         on = now.select(F.col("edge").alias("next"), F.col("a").alias("at"), F.col("weight").alias("w"), F.col("n").alias("m"), F.col("end").alias("e"), F.col("last").alias("l"), F.col("next").alias("nn"), F.col("at").alias("na"))
-        went = now.filter("next is not null").join(on, ["next", "at"]).select("edge", "a", (F.col("weight") + F.col("w")).alias("weight"), (F.col("n") + F.col("m")).alias("n"), F.col("e").alias("end"), F.col("l").alias("last"), F.col("nn").alias("next"), F.col("na").alias("at"))
+        went = now.filter("next is not null").join(on, ["next", "at"]).select("edge", "a", (F.col("weight") + F.col("w")).alias("weight"), (F.col("n") + F.col("m")).alias("n"), F.col("e").alias("end"), F.col("l").alias("last"), F.col("nn").alias("next"), F.col("na").alias("at"), "stop")
         now = now.filter("next is null").unionAll(went)
     whole = now.filter("next is null")
-    first = whole.join(plain.withColumnRenamed("node", "a"), "a", "left_anti").filter(F.col("a") != F.col("end"))
+    first = whole.join(plain.select(F.col("node").alias("a")), "a", "left_anti").filter(F.col("a") != F.col("end"))
     name = F.when(F.col("n") == 1, F.col("edge")).otherwise(F.xxhash64(F.least("edge", "last"), F.greatest("edge", "last")))
     first = landed(first.withColumn("name", name))
     net = first.select(F.col("name").alias("edge"), "a", F.col("end").alias("b"), "weight", "n")
-    stops = edges.select("edge", "a", F.col("b").alias("stop"))
-    members = whole.select("edge", "a", "n", "end", "last").join(first.select("name", "end", "last"), ["end", "last"]).join(stops, ["edge", "a"])
+    members = whole.select("edge", "n", "end", "last", "stop").join(first.select("name", "end", "last"), ["end", "last"])
     return net, members.select(F.col("name").alias("edge"), F.col("end").alias("node"), F.col("n").alias("rank"), F.col("edge").alias("own"), "stop")
 
 

@@ -58,10 +58,15 @@ def lines_in_areas(vertices: DataFrame, key: str, areas: DataFrame, area_key: st
     return shaped.join(ringed, [area_key, "part"]).filter(line_meets_rings("line", F.col("rings"))).select(key, area_key)
 
 
+def off_equator(lat: Column) -> Column:
+    """Degrees from the equator; a latitude past a pole comes down on the other side."""
+    return F.abs(F.pmod(lat + 90, F.lit(180.0)) - 90)
+
+
 def columns_of(band: Column, size: float) -> Column:
     """Cells of a band of size degrees of latitude, none of which is narrower than the band is high."""
     low = band * size - 90
-    far = F.least(F.greatest(F.abs(low), F.abs(low + size)), F.lit(90.0))
+    far = F.greatest(off_equator(low), off_equator(low + size))
     return F.greatest(F.floor(360 * F.cos(F.radians(far)) / size), F.lit(1)).cast("long")
 
 
@@ -77,8 +82,9 @@ def asking_cells(left: DataFrame, metres: float, size: float = SNAP_CELL) -> Dat
     bands = F.sequence(F.greatest(F.floor((lat + 90 - up) / size), F.lit(0)), F.greatest(F.floor((lat + 90 + up) / size), F.lit(0)))
     asked = left.filter("lng is not null and lat is not null").withColumn("band", F.explode(bands)).withColumn("n", columns_of(F.col("band"), size))
     # The widest difference in longitude of two points at this distance, both as far from the equator as the one may be.
-    top = F.sin(F.lit(metres / (2 * EARTH_M))) / F.cos(F.radians(F.least(F.abs(lat) + up, F.lit(90.0))))
-    wide = F.when((F.abs(lat) + up >= 90) | (top >= 1), F.lit(180.0)).otherwise(2 * F.degrees(F.asin(F.least(top, F.lit(1.0)))) + 1e-9)
+    high = off_equator(lat) + up
+    top = F.sin(F.lit(metres / (2 * EARTH_M))) / F.cos(F.radians(F.least(high, F.lit(90.0))))
+    wide = F.when((high >= 90) | (lat - up < -90) | (top >= 1), F.lit(180.0)).otherwise(2 * F.degrees(F.asin(F.least(top, F.lit(1.0)))) + 1e-9)
     first, last = F.floor((lng - wide) * F.col("n") / 360), F.floor((lng + wide) * F.col("n") / 360)
     asked = asked.withColumn("at", F.explode(F.sequence(first, F.least(last, first + F.col("n") - 1))))
     return asked.withColumn("cell", cell_id(F.col("band"), F.pmod(F.col("at"), F.col("n")))).drop("band", "n", "at")

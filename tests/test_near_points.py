@@ -7,7 +7,7 @@ import pytest
 
 from cairn.functions.geo import EARTH_M
 from cairn.operators.graph import snap
-from cairn.operators.spatial import near_points
+from cairn.operators.spatial import asking_cells, holding_cells, near_points
 
 RNG = random.Random(12)
 
@@ -78,3 +78,16 @@ def test_fallback_among_more_than_a_list(spark):
         assert {r["id"]: r["highlight_id"] for r in found.collect()} == want
     best = {r["id"]: (r["highlight_id"], r["tier"]) for r in match.highlight_match(pois, lights).collect()}
     assert best == {3: (40, 2)}
+
+
+def test_points_past_a_pole_meet_few(spark):
+    """The meshes of many suppliers lie at latitudes of over 90 degrees, in bands of which each was one cell."""
+    points = [(n, 9 + n / 20 + RNG.uniform(0, 0.005), lat + RNG.uniform(0, 0.005)) for lat in (120.0, 268.0, 301.0) for n in range(200)]
+    points += [(n, RNG.uniform(0, 360), 90 + RNG.uniform(0, 0.02)) for n in range(60)]
+    points = [(i, x, y) for i, (_, x, y) in enumerate(points)]
+    left = spark.createDataFrame(points, "id long, lng double, lat double")
+    right = left.toDF("other", "other_lng", "other_lat")
+    found = {(r.id, r.other) for r in near_points(left, right, 500.0).collect()}
+    assert found == {(i, j) for i, *p in points for j, *q in points if metres(p, q) <= 500.0} and len(found) > 2 * len(points)
+    far = left.filter("id < 600")
+    assert asking_cells(far, 500.0).join(holding_cells(right.filter("other < 600")), "cell").count() < 10 * 600

@@ -58,3 +58,36 @@ def test_trails_over_the_same_ground_make_no_more_edges(spark, tmp_path):
     assert found[0] == found[1] and found[0][0] == 9
     _, raw = routing.network(spark, f"{tmp_path}/20", edges_of=graph.edges_of)
     assert raw.count() == 180 and sorted(map(tuple, graph.simple_edges(raw).collect())) == found[0][1]
+
+
+def test_components_are_searched_on_the_contracted_network(spark, monkeypatch):
+    """Routes through places of the meshes: each edge of the whole network was in every step of the components, both ways."""
+    from cairn.plans import routing
+
+    seen = []
+
+    def counted(edges, *ends):
+        seen.append(edges.count())
+        return connected_components(edges, *ends)
+
+    connected_components = near_routes.connected_components
+    for module in (graph, near_routes):
+        monkeypatch.setattr(module, "connected_components", counted)
+    monkeypatch.setattr(via_routes, "through_all", lambda requests, edges, nodes: requests.selectExpr("request", "0 as alt", "0d as length", "0d as dup", "array(0) as path"))
+    assert routing.grf_11(spark, "/root/testdata/sf0.001").count()
+    assert not seen
+    monkeypatch.undo()
+    monkeypatch.setattr(near_routes, "connected_components", counted)
+    rows = [(x, x + 1, 1.0) for x in range(40)] + [(x, x + 1, 1.0) for x in range(100, 140)] + [(0, 100, 1.0), (20, 120, 1.0), (40, 140, 1.0)]
+    edges = graph.simple_edges(spark.createDataFrame(rows, "a long, b long, weight double"))
+    nodes = spark.createDataFrame([(x, float(x), 0.0) for x in [*range(41), *range(100, 141)]], "node long, lng double, lat double")
+    asked = spark.createDataFrame([(1, 0, [20], 40)], "request long, source long, vias array<long>, target long")
+    found = via_routes.through_all(asked, edges, nodes).orderBy("alt").collect()
+    assert seen == [5] and found[0].stops == list(range(41)) and found[0].length == 40.0
+
+
+def test_chains_are_found_without_joins_of_edges(spark):
+    """Each edge meets the node that it leads to, and what it is made of carries where it leads: before, edges were joined to edges before and after the rounds."""
+    edges = graph.simple_edges(spark.createDataFrame(ROWS, "a long, b long, weight double"))
+    _, chains = routes.contracted(edges, spark.createDataFrame([(0,), (15,)], "node long"))
+    assert chains._jdf.queryExecution().analyzed().toString().count("Join") == 1
