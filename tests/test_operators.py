@@ -218,6 +218,37 @@ def test_posts_that_hold_the_whole_name(spark):
     assert {tuple(r) for r in match.relevant_posts(pois, posts).collect()} == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_posts_are_dealt_once_and_not_for_each_text(spark):
+    """Ids and posts of names that say the same meet in cells; an id of two names and a post of two texts give each pair once."""
+    pois = [(i, ["hut", "bivouac", "peak"][i % 3], f"{['Rifugio', 'Bivacco', 'Monte'][i % 3]} red bolt {i % 7}") for i in range(300)] + [(300, "peak", "Monte Blu"), (300, "peak", "Monte red bolt 1"), (301, None, "blu alto"), (302, "peak", None)]
+    posts = [(n, f"Ieri al red bolt {n % 20}{' e blu' if n % 5 == 0 else ''}!") for n in range(200)] + [(200, "il blu alto"), (200, "red bolt"), (201, None)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(r.stageId(), r.attemptId()): r.shuffleWriteRecords() for r in (found.apply(k) for found in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)] for k in range(found.size()))}
+    before = set(stages())
+    found = [tuple(r) for r in match.relevant_posts(spark.createDataFrame(pois, "id long, type string, name string"), spark.createDataFrame(posts, "post_id long, post string")).collect()]
+    by_bolt = {(i, n) for i in range(301) for n in range(201)}
+    by_blu = {(300, n) for n in range(0, 201) if n % 5 == 0} | {(301, 200)}
+    assert len(found) == len(set(found)) and set(found) == by_bolt | by_blu
+    # The different names and texts that fit are 21 x 21; an id for each text would be 300 x 21 rows.
+    written = [n for stage, n in stages().items() if stage not in before]
+    assert written and max(written) < 2000
+
+
+def test_pairs_of_kinds_in_many_cells(spark):
+    """Every id and post whose asker and teller fit share one cell, others none, however small the cells."""
+    rng = random.Random(4)
+    fits = sorted({(rng.randrange(6), rng.randrange(5)) for _ in range(12)} | {(7, t) for t in range(5)})
+    left = [(i, rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 7, 9])) for i in range(150)]
+    right = [(n, rng.choice([0, 0, 1, 2, 3, 4, 8])) for n in range(130)]
+    want = sorted((i, n) for i, a in left for n, t in right if (a, t) in set(fits))
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    for least, most in ((1 << 12, 1 << 16), (1, 7), (1, 1)):
+        ids, told = match.dealt(made(left, "id long, asker long"), made(right, "post_id long, teller long"), made(fits, "asker long, teller long"), cells=9, least=least, most=most)
+        assert sorted(map(tuple, ids.join(told, "cell").select("id", "post_id").collect())) == want
+    none = match.dealt(made(left, "id long, asker long"), made([], "post_id long, teller long"), made(fits, "asker long, teller long"))
+    assert none[0].count() == none[1].count() == 0
+
+
 def test_chunks_cover_all_points(spark):
     from cairn.plans.searches import grid
 
